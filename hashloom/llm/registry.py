@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hashloom.llm import exact_dedup
+from hashloom.llm import bpe, exact_dedup, packing
 
 
 def queries() -> dict:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {"op5_packing": packing.op5_packing, "op6_exact_dedup": exact_dedup.op6_exact_dedup, "op7_bpe": bpe.op7_bpe}
 
 
 def oracles() -> dict[str, str]:

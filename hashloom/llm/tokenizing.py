@@ -15,9 +15,12 @@ import re
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 600_000
+GROUP = 50
+BARE = "\x01"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"[^\S ]|  ")
+#: White space other than single spaces and newlines between other characters; BARE; special tokens, which lengths don't fit.
+_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|\x01|<\|")
 
 
 def vocabulary_path(name: str) -> str:
@@ -64,32 +67,46 @@ def from_ranks(ranks: dict[bytes, int], pattern: str):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, tokenizer, cache: int = CACHE):
-        self.tokenizer, self.limit, self.known = tokenizer, cache, {}
+    ``lengths`` has the number of bytes that each id stands for. Chunks are known
+    by the text after their space; one without a space is marked by ``BARE``.
+    """
+
+    def __init__(self, tokenizer, lengths: np.ndarray, cache: int = CACHE):
+        self.tokenizer, self.lengths, self.limit, self.known = tokenizer, lengths, cache, {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
+        if not text:
+            return []
         if _ODD.search(text) is None:
-            if not text:
-                return []
-            first, *rest = text.split(" ")
-            if first and (not rest or rest[-1]):
-                return [first, *[" " + x for x in rest]]
-        return _CUT.split(text)
+            return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
+        return [x[1:] if x[0] == " " and len(x) > 1 and x[1] != BARE else BARE + x for x in _CUT.split(text)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [" " + c for c in new if c[0] != BARE and not c[-1].isspace()]
+        for at in range(0, len(plain), GROUP * 200):  # a group's chunks are encoded as one text, then parted by their bytes
+            some = plain[at : at + GROUP * 200]
+            groups = ["".join(some[i : i + GROUP]) for i in range(0, len(some), GROUP)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids], dtype="<u4")
+            ends = 4 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in some]), side="left") + 4
+            body, start = ids.tobytes(), 0
+            for c, end in zip(some, ends.tolist(), strict=True):
+                self.known[c[1:]] = body[start:end]
+                start = end
+        bare = [c for c in new if c[0] == BARE or c[-1].isspace()]
+        texts = [c[1:] if c[0] == BARE else " " + c for c in bare]
+        for c, e in zip(bare, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
         cut = [self.chunks(t) for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        self._learn(list(set().union(*cut) - self.known.keys()))
+        get = self.known.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in cut]
 
 
 def _single_thread() -> None:
@@ -102,7 +119,11 @@ def json_encoder(path: str) -> Encoder:
     _single_thread()
     from tokenizers import Tokenizer
 
-    return Encoder(Tokenizer.from_file(path))
+    tokenizer = Tokenizer.from_file(path)
+    lengths = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        lengths[i] = len(token)
+    return Encoder(tokenizer, lengths)
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,7 +134,7 @@ def rank_encoder(path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return Encoder(from_ranks(ranks, pattern)), table
+    return Encoder(from_ranks(ranks, pattern), np.array([len(t) for t in table])), table
 
 
 def text_slices(texts, most: int = 4_000_000):
