@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hashloom.llm import bpe, exact_dedup, packing, quality, toxicity
+from hashloom.llm import bpe, exact_dedup, packing, pii, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op2_toxicity": toxicity.op2_toxicity, "op4_quality": quality.op4_quality, "op5_packing": packing.op5_packing, "op6_exact_dedup": exact_dedup.op6_exact_dedup, "op7_bpe": bpe.op7_bpe}
+    return {"op2_toxicity": toxicity.op2_toxicity, "op4_quality": quality.op4_quality, "op5_packing": packing.op5_packing, "op6_exact_dedup": exact_dedup.op6_exact_dedup, "op7_bpe": bpe.op7_bpe, "op9_pii": pii.op9_pii}
 
 
 def oracles() -> dict[str, str]:
