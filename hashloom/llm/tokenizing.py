@@ -15,12 +15,18 @@ import re
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 1_500_000
 GROUP = 50
 BARE = "\x01"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: White space other than single spaces and newlines between other characters; BARE; special tokens, which lengths don't fit.
-_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|\x01|<\|")
+#: White space other than spaces and newlines.
+_RARE = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _plain(text: str) -> bool:
+    """Only single spaces and newlines, each between other characters; no ``BARE`` and no special token."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or BARE in text or "<|" in text or text[0] in " \n" or text[-1] in " \n" or _RARE.search(text))
+
 
 
 def vocabulary_path(name: str) -> str:
@@ -80,7 +86,7 @@ class Encoder:
     def chunks(text: str) -> list[str]:
         if not text:
             return []
-        if _ODD.search(text) is None:
+        if _plain(text):
             return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
         return [x[1:] if x[0] == " " and len(x) > 1 and x[1] != BARE else BARE + x for x in _CUT.split(text)]
 
