@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hashloom.llm import bpe, chat, exact_dedup, packing, pii, quality, toxicity
+from hashloom.llm import bpe, chat, embedding_dedup, exact_dedup, packing, pii, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op2_toxicity": toxicity.op2_toxicity, "op4_quality": quality.op4_quality, "op5_packing": packing.op5_packing, "op6_exact_dedup": exact_dedup.op6_exact_dedup, "op7_bpe": bpe.op7_bpe, "op8_chat": chat.op8_chat, "op9_pii": pii.op9_pii}
+    return {"op2_toxicity": toxicity.op2_toxicity, "op4_quality": quality.op4_quality, "op5_packing": packing.op5_packing, "op6_exact_dedup": exact_dedup.op6_exact_dedup, "op7_bpe": bpe.op7_bpe, "op8_chat": chat.op8_chat, "op9_pii": pii.op9_pii, "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup}
 
 
 def oracles() -> dict[str, str]:
