@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _live: dict[str, object] = {}
+_kept: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,10 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it lives until :func:`release` or the interpreter's end."""
+def scratch(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new path in the shared folder; it lives until :func:`release`, or the interpreter's end with ``keep``."""
     path = f"{shared_dir(spark)}/hashloom-{tag}-{uuid.uuid4().hex}"
-    _live[path] = spark
+    (_kept if keep else _live)[path] = spark
     return path
 
 
@@ -34,6 +35,7 @@ def drop(spark: SparkSession, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     _live.pop(path, None)
+    _kept.pop(path, None)
 
 
 def release(spark: SparkSession) -> None:
@@ -44,24 +46,20 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for path, spark in list(_live.items()):
+    for path, spark in [*_live.items(), *_kept.items()]:
         try:
             drop(spark, path)
         except Exception:  # the session is gone; the folder's owner clears it
             return
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, tag)
+    path = scratch(df.sparkSession, tag, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_of(df: DataFrame) -> list[str]:
-    return df.inputFiles()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

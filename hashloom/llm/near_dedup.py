@@ -215,5 +215,12 @@ def classes(docs: DataFrame) -> DataFrame:
     return placed.join(least, "component").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each class: the one of the smallest id; of rows that repeat that id, one of the first text."""
+    kept = classes(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    mine = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return mine.dropDuplicates(["doc_id"])
+
+
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
