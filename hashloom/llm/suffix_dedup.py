@@ -112,25 +112,28 @@ def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 # 1. Blocks.
 
 
-def _blocks(batches):
-    from pyspark import TaskContext
+def _blocks(most: int):
+    def run(batches):
+        from pyspark import TaskContext
 
-    name = TaskContext.get().partitionId() << 32
-    ids, bodies, size = [], [], 0
+        name = TaskContext.get().partitionId() << 32
+        ids, bodies, size = [], [], 0
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(b) for b in bodies]], pa.list_(pa.int32())), pa.array([size], pa.int64()), pa.array([_packed(b"".join(bodies))], pa.binary())], ["block", "ids", "sizes", "bytes", "body"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(b) for b in bodies]], pa.list_(pa.int32())), pa.array([size], pa.int64()), pa.array([_packed(b"".join(bodies))], pa.binary())], ["block", "ids", "sizes", "bytes", "body"])
 
-    for batch in batches:
-        for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(doc)
-            bodies.append(body or b"")
-            size += len(bodies[-1])
-            if size >= BLOCK:
-                yield out()
-                ids, bodies, size, name = [], [], 0, name + 1
-    if ids:
-        yield out()
+        for batch in batches:
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(doc)
+                bodies.append(body or b"")
+                size += len(bodies[-1])
+                if size >= most:
+                    yield out()
+                    ids, bodies, size, name = [], [], 0, name + 1
+        if ids:
+            yield out()
+
+    return run
 
 
 class Block:
@@ -419,7 +422,7 @@ def _marked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     A byte goes if a ``SPAN``-byte string that covers it also starts in a document
@@ -431,8 +434,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = written(docs.mapInArrow(_blocks, "block long, ids array<long>, sizes array<int>, bytes long, body binary"), "blocks")
-    ranges = max(8, math.ceil((blocks.agg(F.sum("bytes")).first()[0] or 0) / RANGE_BYTES))
+    blocks = written(docs.mapInArrow(_blocks(block_bytes), "block long, ids array<long>, sizes array<int>, bytes long, body binary"), "blocks")
+    ranges = max(8, math.ceil((blocks.agg(F.sum("bytes")).first()[0] or 0) / range_bytes))
     sent = blocks.select("block", "ids", "sizes", "body").mapInArrow(_hashes_sent(ranges), "owner int, block long, blob binary")
     kept = written(sent.groupBy("owner").applyInArrow(_hashes_kept, "owner int, block long, blob binary"), "kept")
     free_shuffles(spark)
