@@ -188,7 +188,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    member = member.select("component", F.size("embedding").alias("size"), low.alias("low"), high.alias("high"), "own", F.col("node").alias("vec_id"), F.col("embedding").alias("v"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(256))).otherwise(F.xxhash64("component", low, high)).alias("task"))
+    member = member.select("component", F.size("embedding").alias("size"), low.alias("low"), high.alias("high"), "own", F.col("node").alias("vec_id"), F.col("embedding").alias("v"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(64, n // ROWS_A_TASK)))).otherwise(F.xxhash64("component", low, high)).alias("task"))
     counts = member.groupBy("task").applyInArrow(_counted(threshold), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     marks = found.select(F.col("node").alias("vec_id"), F.col("component")).join(counts, "vec_id", "left")
     out = rows.select("vec_id").join(marks, "vec_id", "left")

@@ -12,8 +12,9 @@
 4. *Verification.* Pairs are compared by their shingle sets; those at
    ``THRESHOLD`` or above link, and links make components.
 5. *The rest.* Nodes of one bucket that are still in different components are
-   compared all with all, first by signature, then by their sets; large buckets
-   in square blocks over many tasks. So no pair that shares a bucket can lose
+   compared all with all where they lie, first by signature, then by their sets,
+   each pair in the first bucket it shares; only links leave a task. Large buckets
+   go in square blocks over many tasks. So no pair that shares a bucket can lose
    its link; a pair at the threshold shares none with probability 1.5e-5.
 """
 
@@ -35,6 +36,8 @@ REGISTERS = BANDS * ROWS
 #: Below this agreement of signatures a pair is not compared further: four deviations under the threshold.
 AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 BLOCK = 2048
+#: Rows of mixed buckets for each group of the last comparison.
+ROWS_A_TASK = 2000
 WORDS = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,25 +156,37 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long")
 
 
-def _agreeing(rows: pa.Table) -> pa.Table:
-    """Pairs of a bucket's nodes, in different components, whose signatures agree enough; several buckets may come in one table."""
+def _linked(rows: pa.Table) -> pa.Table:
+    """Links between components among the nodes of a bucket; several buckets may come in one table.
+
+    A pair is looked at in the first bucket that its nodes share, if their components
+    have not met in this table yet: by signature, then by sets.
+    """
     rows = rows.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
     marks = np.stack([rows.column(c).to_numpy() for c in ("key", "low", "high")])
-    node, own, component, hub = (rows.column(c).to_numpy() for c in ("node", "own", "component", "hub"))
-    bodies = rows.column("sig").to_pylist()
+    node, own = (rows.column(c).to_numpy() for c in ("node", "own"))
+    group = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+    label = np.arange(len(group))  # of each group, the least group it has met
+    sigs, sets = rows.column("sig").to_pylist(), rows.column("set").to_pylist()
+    bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64).reshape(len(node), -1)
     cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), len(node)]
     found = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        sig = np.frombuffer(b"".join(bodies[a:b]), dtype=np.uint8).reshape(b - a, -1)
-        n, m, c, o = node[a:b], own[a:b] == marks[1, a], component[a:b], own[a:b]
-        square = marks[1, a] == marks[2, a]
-        others = np.arange(b - a) if square else np.flatnonzero(~m)
-        for i in np.arange(b - a) if square else np.flatnonzero(m):
-            j = others[(c[others] != c[i]) & (n[others] != hub[a]) & ((n[others] > n[i]) if square else (o[others] != o[i]))]
-            if n[i] != hub[a] and len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE]
-                found += [(min(int(n[i]), int(x)), max(int(n[i]), int(x))) for x in n[j]]
-    found = sorted(set(found))
+        sig = np.frombuffer(b"".join(sigs[a:b]), dtype=np.uint8).reshape(b - a, -1)
+        left, right = own[a:b] == marks[1, a], own[a:b] == marks[2, a]
+        for i in np.flatnonzero(left):
+            mine = label[group[a + i]]
+            j = np.flatnonzero(right & (label[group[a:b]] != mine) & ((node[a:b] > node[a + i]) | (marks[1, a] != marks[2, a])))
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE] if len(j) else j
+            if not len(j):
+                continue
+            same = bands[a + j] == bands[a + i]
+            j = j[bands[a + i][same.argmax(axis=1)] == marks[0, a]]
+            for x in j.tolist():
+                other = label[group[a + x]]
+                if other != mine and jaccard(sets[a + i], sets[a + x]) >= THRESHOLD:
+                    found.append((int(node[a + i]), int(node[a + x])))
+                    label[label == max(other, mine)] = mine = min(other, mine)
     return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
@@ -203,12 +218,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     placed = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x <> y and n > 2")
-    rest = placed.select("key", "node", "hub", "component").join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.select("node", "sig"), "node")
+    mixed = written(mixed.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    tasks = max(64, (mixed.agg(F.sum("n")).first()[0] or 0) // ROWS_A_TASK)
+    rest = placed.select("key", "node", "component").join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "sig", "bands"), "node").join(sets, "node")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rest = rest.select("key", low.alias("low"), high.alias("high"), "own", "node", "hub", "component", "sig", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(F.xxhash64("key", low, high)).alias("task"))
-    more = rest.groupBy("task").applyInArrow(_agreeing, "a long, b long").distinct()
-    more = written(verify(more, sets), "more")
+    rest = rest.select("key", low.alias("low"), high.alias("high"), "own", "node", "component", "sig", "bands", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", low, high)).alias("task"))
+    more = written(rest.groupBy("task").applyInArrow(_linked, "a long, b long"), "more")
     final = components(links.unionAll(more)) if not more.isEmpty() else first
     placed = signed.select("doc_id", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
