@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hashloom.functions import commands, counters, digests, hostcheck, ids, status
 from hashloom.operators import chunking, resolving, results, store
 from hashloom.sources import tables
+from hashloom.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -517,3 +518,11 @@ def split_fastcdc(spark, d):
 def split_repmaxcdc(spark, d):
     blobs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
     return chunking.splice(chunking.split_longest(blobs, 256))
+
+
+# Streams, held against the same SQL as their batch forms.
+
+QUERIES.update(streams.QUERIES)
+ORACLES["stream_waiter_match"] = ORACLES["waiter_match"]
+ORACLES["stream_memoize"] = ORACLES["memoize"]
+ORACLES["stream_dedup_content"] = f"with {_D} select distinct hash, size_bytes from d"
