@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 _live: dict[str, object] = {}
 _kept: dict[str, object] = {}
+_own: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='hashloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='hashloom-')}")
+        base = _own[0]
     return base.rstrip("/")
 
 
@@ -55,9 +58,14 @@ def _at_exit() -> None:
 
 def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, tag, keep)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch(spark, tag, keep), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # this write's shuffle files go when it has ended, not when the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

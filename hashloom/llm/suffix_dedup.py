@@ -4,7 +4,7 @@ Sorting the suffixes at every byte would move the text fifty times over, so
 suffixes are taken at *anchors*. Each window of ``SPAN`` bytes picks the one of its
 ``GRAM``-byte strings with the least hash, the leftmost of equals; the pick depends
 on the window's bytes alone, so equal windows in different documents pick the
-same place in them. About one byte in fourteen is an anchor, and every window has one.
+same place in them. About one byte in sixteen is an anchor, and every window has one.
 
 1. *Blocks.* Scan tasks pack documents into blocks of about ``BLOCK`` bytes,
    written to shared files.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from hashloom.llm.common import free_shuffles, written
 
 SPAN = 50
-GRAM = 24
+GRAM = 20
 LEFT = SPAN - GRAM
 #: A sorted entry: the suffix, the bytes before the anchor backwards, and the first and last offset of the anchor's windows.
 ENTRY = SPAN + LEFT + 2
@@ -80,7 +80,7 @@ def gram_hashes(body: np.ndarray) -> np.ndarray:
     h4 = h2[:-2] * _power(2) + h2[2:]
     h8 = h4[:-4] * _power(4) + h4[4:]
     h16 = h8[:-8] * _power(8) + h8[8:]
-    return _mix(h16[:-8] * _power(8) + h8[16:])  # 24 bytes
+    return _mix(h16[:-4] * _power(4) + h4[16:])  # 16 and 4 bytes
 
 
 def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         least = (hashes & np.uint64(~((1 << 21) - 1) & (1 << 64) - 1)) | np.arange(len(hashes), dtype=np.uint64)
         for step in (1, 2, 4, 8):
             least = np.minimum(least[:-step], least[step:])
-        least = np.minimum(least[: high - low], least[LEFT - 15 :][: high - low])  # of 27 grams
+        least = np.minimum(least[: high - low], least[LEFT - 15 :][: high - low])  # of LEFT + 1 grams
         start = np.flatnonzero(room[low:high] >= SPAN)
         if not len(start):
             continue
@@ -146,8 +146,10 @@ class Block:
     def anchors(self, ranges: int):
         """Place, least and greatest window offset, hash range and value within it, document."""
         place, first, last, hashes = anchors(self.body, self.ends)
-        owner = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        value = (_mix(hashes ^ np.uint64(0x1234567)) >> np.uint64(64 - VALUE_BITS)).astype(np.int64)
+        # Anchors have small hashes, so ranges are cut in hashes of these.
+        even = _mix(hashes ^ np.uint64(0x1234567))
+        owner = ((even >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        value = (even & np.uint64((1 << VALUE_BITS) - 1)).astype(np.int64)
         return place, place - last, place - first, owner, value, np.searchsorted(self.ends, place, side="right")
 
 
