@@ -51,14 +51,21 @@ def cpu_max(milli: Column) -> Column:
     return F.concat(F.floor(product / F.lit(1000)).cast("decimal(20,0)").cast("string"), F.lit(f" {PERIOD_US}"))
 
 
+def _pairs(of: Column) -> Column:
+    """Arrays of two as ``(_1, _2)``; null as none."""
+    none = F.array().cast("array<struct<_1:string,_2:string>>")
+    return F.coalesce(F.transform(of, lambda p: F.struct(p[0].alias("_1"), p[1].alias("_2"))), none)
+
+
 def config_of(document: Column) -> Column:
     """A sandbox document with its defaults; what isn't JSON of this schema fails the query."""
     made = F.from_json(document, SANDBOX_CONFIG, {"mode": "FAILFAST"})
-    none = lambda kind: F.array().cast(f"array<{kind}>")
+    root, no_names = made["rootfs"], F.array().cast("array<string>")
     return F.struct(
-        made["argv"].alias("argv"), F.coalesce(made["env"], none("struct<_1:string,_2:string>")).alias("env"), made["workdir"].alias("workdir"),
-        F.coalesce(made["stdin"], F.lit("null")).alias("stdin"), F.coalesce(made["network"], F.lit("none")).alias("network"), made["limits"].alias("limits"), made["rootfs"].alias("rootfs"),
-        F.coalesce(made["determinism"]["timezone_utc"], F.lit(False)).alias("timezone_utc"), F.coalesce(made["retained_caps"], none("string")).alias("retained_caps"),
+        made["argv"].alias("argv"), _pairs(made["env"]).alias("env"), made["workdir"].alias("workdir"),
+        F.coalesce(made["stdin"], F.lit("null")).alias("stdin"), F.coalesce(made["network"], F.lit("none")).alias("network"), made["limits"].alias("limits"),
+        F.struct(_pairs(root["ro_binds"]).alias("ro_binds"), _pairs(root["tmpfs"]).alias("tmpfs"), _pairs(root["symlinks"]).alias("symlinks"), root["input_root"].alias("input_root")).alias("rootfs"),
+        F.coalesce(made["determinism"]["timezone_utc"], F.lit(False)).alias("timezone_utc"), F.coalesce(made["retained_caps"], no_names).alias("retained_caps"), F.coalesce(made["extra_seccomp_allow"], no_names).alias("extra_seccomp_allow"),
     )
 
 

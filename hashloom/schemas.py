@@ -33,13 +33,14 @@ ACTION_RESULT = T.StructType([
 ])
 CACHED = T.StructType([T.StructField("action_hash", T.StringType(), False), T.StructField("result", ACTION_RESULT)])
 EDGE = T.StructType([T.StructField("parent_hash", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("child_hash", T.StringType())])
-PAIR = T.StructType([T.StructField("_1", T.StringType()), T.StructField("_2", T.StringType())])
+#: In JSON a pair is an array of two.
+PAIR = T.ArrayType(T.StringType())
 LIMIT_NAMES = ("cpu_milli", "memory_bytes", "pids_max", "io_read_bytes_per_sec", "io_write_bytes_per_sec", "wall_clock_secs")
 LIMITS = T.StructType([T.StructField(n, U64) for n in LIMIT_NAMES])
 SANDBOX_CONFIG = T.StructType([
     T.StructField("argv", T.ArrayType(T.StringType())), T.StructField("env", T.ArrayType(PAIR)), T.StructField("workdir", T.StringType()),
     T.StructField("stdin", T.StringType()), T.StructField("network", T.StringType()), T.StructField("limits", LIMITS),
-    T.StructField("rootfs", T.StructType([T.StructField("ro_binds", T.ArrayType(PAIR)), T.StructField("tmpfs", T.ArrayType(T.StructType([T.StructField("_1", T.StringType()), T.StructField("_2", U64)]))), T.StructField("symlinks", T.ArrayType(PAIR)), T.StructField("input_root", T.StringType())])),
+    T.StructField("rootfs", T.StructType([T.StructField("ro_binds", T.ArrayType(PAIR)), T.StructField("tmpfs", T.ArrayType(PAIR)), T.StructField("symlinks", T.ArrayType(PAIR)), T.StructField("input_root", T.StringType())])),
     T.StructField("determinism", T.StructType([T.StructField("hostname", T.StringType()), T.StructField("timezone_utc", T.BooleanType()), T.StructField("source_date_epoch", T.LongType()), T.StructField("strip_ld_preload", T.BooleanType()), T.StructField("strip_path", T.BooleanType())])),
     T.StructField("retained_caps", T.ArrayType(T.StringType())), T.StructField("extra_seccomp_allow", T.ArrayType(T.StringType())),
 ])
