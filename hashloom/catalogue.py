@@ -10,8 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hashloom.functions import commands, counters, digests, hostcheck, ids, status
+from hashloom.ext import queries as extensions
+from hashloom.functions import commands, counters, digests, exotic, hostcheck, ids, status
 from hashloom.operators import chunking, resolving, results, store
 from hashloom.sources import tables
 from hashloom.streaming import queries as streams
@@ -520,9 +522,64 @@ def split_repmaxcdc(spark, d):
     return chunking.splice(chunking.split_longest(blobs, 256))
 
 
+# Typed reads, envelopes, order.
+
+
+@query(f"with {_D} select doc_id as pos, lang, source from d join documents using (doc_id) where doc_id % 4 = 0")
+def typed_fetch(spark, d):
+    body = F.to_json(F.struct("doc_id", "lang", "source"))
+    docs = tables.read(spark, d, "documents")
+    held = store.distinct_blobs(store.as_blobs(docs, body))
+    wanted = store.as_blobs(docs.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "pos").withColumn("doc_id", F.col("pos")), body, "pos").drop("data")
+    got = tables.fetch(wanted, held, T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]))
+    return got.select("pos", "message.lang", "message.source")
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as event_type from events where event_type <> 'error' and user_id in (3, 5, 8, -1) group by user_id")
+def get_result(spark, d):
+    """A hit is a row, a miss none."""
+    cache = results.upsert(_log(spark, d).where("exit_code = 0"), "user_id", ["ts", "event_id"], ["event_type"])
+    return cache.join(spark.createDataFrame([(3,), (5,), (8,), (-1,)], "user_id long"), "user_id", "left_semi")
+
+
+@query("select user_id, arg_min(event_id, (ts, event_id)) as event_id from events where event_type = 'purchase' group by user_id")
+def first_terminal(spark, d):
+    """The first element of each stream that is done."""
+    done = _log(spark, d).where("event_type = 'purchase'")
+    return done.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query(f"with {_TREE} select parent, string_agg(name, '/' order by name) as children, count(*) as n from t group by parent")
+def canonical_children(spark, d):
+    """A directory's children in the byte order of their names."""
+    return _tree(spark, d).groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("name")), "/").alias("children"), F.count("*").alias("n"))
+
+
+@query("select o_orderkey, md5('order|' || o_orderkey) as digest, sha1(cast(o_custkey as varchar)) as other from orders")
+def stable_digests(spark, d):
+    return tables.read(spark, d, "orders").select("o_orderkey", digests.digest_by("MD5", F.concat(F.lit("order|"), F.col("o_orderkey").cast("string"))).alias("digest"), digests.digest_by("SHA1", F.col("o_custkey").cast("string")).alias("other"))
+
+
+@query("select doc_id, true as deflate, true as zstd, true as brotli from documents")
+def compression_round_trip(spark, d):
+    raw = F.col("text").cast("binary")
+    return tables.read(spark, d, "documents").select("doc_id", *[(exotic.decompress_udf(n)(exotic.compress_udf(n)(raw)) == raw).alias(n.lower()) for n in ("DEFLATE", "ZSTD", "BROTLI")])
+
+
+@query()
+def digest_functions_exotic(spark, d):
+    raw = F.col("text").cast("binary")
+    return tables.read(spark, d, "documents").select("doc_id", *[exotic.digest_udf(n)(raw).alias(n.lower()) for n in ("SHA256TREE", "MURMUR3")])
+
+
 # Streams, held against the same SQL as their batch forms.
 
 QUERIES.update(streams.QUERIES)
 ORACLES["stream_waiter_match"] = ORACLES["waiter_match"]
 ORACLES["stream_memoize"] = ORACLES["memoize"]
 ORACLES["stream_dedup_content"] = f"with {_D} select distinct hash, size_bytes from d"
+
+# Extensions.
+
+QUERIES.update(extensions.QUERIES)
+ORACLES.update(extensions.ORACLES)
