@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.common import free_shuffles, written
+from hashloom.llm.tokenizing import tidy
 
 SPAN = 50
 GRAM = 20
 LEFT = SPAN - GRAM
 #: A sorted entry: the suffix, the bytes before the anchor backwards, and the first and last offset of the anchor's windows.
 ENTRY = SPAN + LEFT + 2
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Bytes of text for each hash range.
 RANGE_BYTES = 12 << 20
 VALUE_BITS = 39
@@ -85,7 +86,7 @@ def gram_hashes(body: np.ndarray) -> np.ndarray:
 
 def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Place, first and last window start, and gram hash of every anchor, in order; documents end at ``ends``."""
-    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(body))  # bytes left of the document
+    room = (np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(body))).clip(max=SPAN).astype(np.int8)  # bytes left of the document, as far as it matters
     parts = []
     for low in range(0, max(0, len(body) - SPAN + 1), _SLICE):
         high = min(low + _SLICE, len(body) - SPAN + 1)
@@ -184,6 +185,8 @@ def _hashes_sent(ranges: int):
                 cuts = np.searchsorted(owner, np.arange(ranges + 1))
                 some = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), name), pa.int64()), pa.array([_coded(value[cuts[r] : cuts[r + 1]], several[cuts[r] : cuts[r + 1]]) for r in some], pa.binary())], ["owner", "block", "blob"])
+                del block
+                tidy()
 
     return run
 
@@ -269,6 +272,8 @@ def _runs(ranges: int):
                     distinct = rows[new]
                     own = _packed(count.astype("<u4").tobytes() + distinct[:, -2:].tobytes() + spot.astype("<u4").tobytes() + later.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([name], pa.int64()), pa.array([len(new)], pa.int64()), pa.array([front_coded(distinct, first)], pa.binary()), pa.array([own], pa.binary())], ["owner", "block", "n", "run", "own"])
+                del block
+                tidy()
 
     return run
 
