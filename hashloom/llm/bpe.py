@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.llm.common import settle
 from hashloom.llm.tokenizing import rank_encoder, text_slices, vocabulary_path
 
 
@@ -65,6 +66,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([docs_.slice(low, high - low).cast(pa.int64()), pa.array(ids, kind), pa.array([a for a, _ in places], kind), pa.array([b for _, b in places], kind)], ["doc_id", "ids", "starts", "ends"])
 
+    settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -98,6 +100,7 @@ def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None =
                 back = [hashlib.sha256(decoded(np.frombuffer(b, dtype="<u4").tolist(), table)).hexdigest() for b in bodies]
                 yield pa.RecordBatch.from_arrays([docs_.slice(low, high - low).cast(pa.int64()), pa.array([len(b) // 4 for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies]), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

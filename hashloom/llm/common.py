@@ -68,6 +68,16 @@ def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of so many rows and bytes, so that long texts don't fill a worker. Only Spark's defaults are changed.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def settle(spark: SparkSession) -> None:
+    for key, (default, own) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import components, written
+from hashloom.llm.common import components, settle, written
 
 THRESHOLD = 0.95
 WINDOW = 128
@@ -172,6 +172,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     and different vectors share links and component. A row with a null id links with
     nothing: its component is null and it is kept. An empty table gives no row.
     """
+    settle(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     sound = written(rows.where(usable(rows) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"]), "vectors")
     n = sound.count()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import written
+from hashloom.llm.common import settle, written
 
 MAX_DEPTH = 18
 BUCKET_BYTES = 16 << 20
@@ -132,6 +132,7 @@ def _owner(bucket_rows: pa.Table) -> pa.Table:
 
 def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, Directory]:
     """``(entries, index, directory)`` of ``docs(doc_id, text)``; the first two are shared files."""
+    settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     entries = written(docs.mapInArrow(_entries, "doc_id long, key long, sha binary, n long"), "entries")
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.llm.common import settle
+
 #: No classifier is fitted on more labelled rows than this, whatever the input.
 MAX_LABELLED = 30_000
 
@@ -32,6 +34,7 @@ def sample(labels: DataFrame, label: str, folds: int, held_out: int, most: int =
 def chosen(docs: DataFrame, labelled: dict[int, int]) -> DataFrame:
     """``doc_id, text, y`` of the sampled rows. The sample is bounded by :data:`MAX_LABELLED`, so it is broadcast."""
     spark = docs.sparkSession
+    settle(spark)
     small = spark.createDataFrame(list(labelled.items()) or [(None, None)], "doc_id long, y int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.join(F.broadcast(small), "doc_id")

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import components, free_shuffles, written
-from hashloom.llm.tokenizing import text_slices
+from hashloom.llm.common import components, free_shuffles, settle, written
+from hashloom.llm.tokenizing import Memo, text_slices, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,7 +38,7 @@ AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 BLOCK = 2048
 #: Rows of mixed buckets for each group of the last comparison.
 ROWS_A_TASK = 2000
-WORDS = 1_000_000
+WORDS = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,16 +53,14 @@ class Shingler:
     """Distinct shingles of texts, with their counts."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.known = size, {}
+        self.size, self.memo = size, Memo(WORDS)
 
     def sets(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Sorted hashes and counts. A text of fewer words is one shingle, one without words too."""
         words = [(t or "").lower().split() for t in texts]
-        if len(self.known) > WORDS:
-            self.known = {}
-        for w in set().union(*words) - self.known.keys():
-            self.known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        get, out = self.known.__getitem__, []
+        for w in self.memo.missing(set().union(*words)):
+            self.memo.now[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        get, out = self.memo.now.__getitem__, []
         for own in words:
             n = len(own)
             h = np.fromiter(map(get, own), dtype=np.uint64, count=n)
@@ -122,6 +120,8 @@ def _signed(batches):
             signature = signatures(sets)
             short = mix(signature).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array([node_of(s) for s, _ in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "node", "bands", "sig"])
+    del shingler
+    tidy()
 
 
 def _sets_of(batches):
@@ -199,6 +199,7 @@ def classes(docs: DataFrame) -> DataFrame:
     repeat are in one class and marked alike. A null id is above all others. An
     empty table gives no row; other columns are not read.
     """
+    settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_signed, "doc_id long, node long, bands array<long>, sig binary"), "signed")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")

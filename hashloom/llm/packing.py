@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.tokenizing import json_encoder, text_slices, vocabulary_path
+from hashloom.llm.common import settle
+from hashloom.llm.tokenizing import json_encoder, text_slices, tidy, vocabulary_path
 
 WINDOW = 1024
 BATCH = 512
@@ -128,6 +129,7 @@ def _pack(path: str, window: int, batch_size: int, end_id: int):
                     yield record(rows)
         if waiting:
             yield record(rows_of(waiting, following)[0])
+        tidy()
 
     return run
 
@@ -141,6 +143,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ba
     bits, a count below. An empty table gives no sequence; other columns are not
     read; a text of any length is cut, never dropped.
     """
+    settle(docs.sparkSession)
     path = tokenizer or vocabulary_path("byte_bpe_50k.json")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pack(path, window, batch_size, end_id), SCHEMA)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.llm.common import settle
 from hashloom.llm.tokenizing import text_slices
 
 #: In the order that ties in a span list take.
@@ -94,7 +95,7 @@ _LETTER = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"d+")
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=50_000)
 def shape(token: str) -> str:
     """Letters as ``a`` (runs as one), digits as ``d`` and their number up to 5, other characters as they are."""
     s = _LETTER.sub("\x00", token[:60])
@@ -122,7 +123,7 @@ class Field:
         """A row for the token's own place, for the place after it, and for the place before it."""
         got = self._known.get(token)
         if got is None:
-            if len(self._known) > 200_000:
+            if len(self._known) > 50_000:
                 self._known.clear()
             at = [self.names[f] for f in token_features(token) if f in self.names]
             got = self._known[token] = self.emit[:, at].sum(axis=1)
@@ -322,6 +323,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 counts = [pa.array([sum(k == place for _, k, _ in spans) for spans in base], pa.int64()) for place in range(4)]
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *counts, pa.array([hashlib.sha256(listed(s).encode()).hexdigest() for s in base]), pa.array([listed(a + b) for a, b in zip(base, added, strict=True)]), pa.array([len(x) for x in added], pa.int64())], names)
 
+    settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -338,6 +340,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redacted(docs: DataFrame, length: str | None = "n_chars") -> DataFrame:
     """``docs``, all columns, with personal data in ``text`` replaced by its kind; ``length`` is set to the new number of characters where that column is there."""
+    settle(docs.sparkSession)
     field, names = fitted(), docs.columns
     at = names.index("text")
     size = names.index(length) if length in names else None

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import free_shuffles, written
+from hashloom.llm.common import free_shuffles, settle, written
 from hashloom.llm.tokenizing import tidy
 
 SPAN = 50
@@ -53,11 +53,11 @@ NOBODY = np.iinfo(np.int64).max
 _SLICE = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 _TABLE = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
-_CODEC = "zstd"
+_CODEC, _LEVEL = "zstd", 3
 
 
 def _packed(body: bytes) -> bytes:
-    return len(body).to_bytes(8, "little") + pa.Codec(_CODEC).compress(body, asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=_LEVEL).compress(body, asbytes=True)
 
 
 def _unpacked(body: bytes) -> bytes:
@@ -440,6 +440,7 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int =
     part by 64 bits, within a hash range.
     """
     spark = docs.sparkSession
+    settle(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = written(docs.mapInArrow(_blocks(block_bytes), "block long, ids array<long>, sizes array<int>, bytes long, body binary"), "blocks")
     ranges = max(8, math.ceil((blocks.agg(F.sum("bytes")).first()[0] or 0) / range_bytes))

@@ -10,18 +10,21 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
 import re
 
 import numpy as np
 
-CACHE = 1_500_000
+CACHE = 300_000
 GROUP = 50
 BARE = "\x01"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than spaces and newlines.
 _RARE = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+_SPACES = frozenset(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 
 def _plain(text: str) -> bool:
     """Only single spaces and newlines, each between other characters; no ``BARE`` and no special token."""
@@ -72,6 +75,37 @@ def from_ranks(ranks: dict[bytes, int], pattern: str):
     return made
 
 
+class Memo:
+    """What has been worked out for words, in two generations: what isn't asked for again is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """The words to be added to ``now``; all other wanted words are there afterwards."""
+        gone = wanted - self.now.keys()
+        if len(self.now) + len(gone) > self.limit:
+            self.old, self.now, gone = self.now, {}, wanted
+        for word in gone & self.old.keys():
+            self.now[word] = self.old[word]
+        return list(gone - self.old.keys())
+
+
+def tidy() -> None:
+    """Give back memory that a task no longer uses: workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -80,7 +114,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer, lengths: np.ndarray, cache: int = CACHE):
-        self.tokenizer, self.lengths, self.limit, self.known = tokenizer, lengths, cache, {}
+        self.tokenizer, self.lengths, self.memo = tokenizer, lengths, Memo(cache)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -91,27 +125,29 @@ class Encoder:
         return [x[1:] if x[0] == " " and len(x) > 1 and x[1] != BARE else BARE + x for x in _CUT.split(text)]
 
     def _learn(self, new: list[str]) -> None:
-        plain = [" " + c for c in new if c[0] != BARE and not c[-1].isspace()]
-        for at in range(0, len(plain), GROUP * 200):  # a group's chunks are encoded as one text, then parted by their bytes
-            some = plain[at : at + GROUP * 200]
-            groups = ["".join(some[i : i + GROUP]) for i in range(0, len(some), GROUP)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids], dtype="<u4")
-            ends = 4 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in some]), side="left") + 4
-            body, start = ids.tobytes(), 0
-            for c, end in zip(some, ends.tolist(), strict=True):
-                self.known[c[1:]] = body[start:end]
-                start = end
-        bare = [c for c in new if c[0] == BARE or c[-1].isspace()]
+        known = self.memo.now
+        words = [c for c in new if c[0] != BARE and c[-1] not in _SPACES]
+        for at in range(0, len(words), GROUP * 200):  # a group's words are encoded as one text, then parted by their bytes
+            some = words[at : at + GROUP * 200]
+            groups = [" " + " ".join(some[i : i + GROUP]) for i in range(0, len(some), GROUP)]
+            ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)), dtype="<u4")
+            upto = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1)
+            whole = "".join(groups)
+            if not whole.isascii():
+                points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+                upto = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))[upto - 1]
+            ends = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), upto, side="left") + 4).tolist()
+            body = ids.tobytes()
+            known.update(zip(some, [body[i:j] for i, j in zip([0, *ends], ends)]))
+        bare = [c for c in new if c[0] == BARE or c[-1] in _SPACES]
         texts = [c[1:] if c[0] == BARE else " " + c for c in bare]
         for c, e in zip(bare, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+            known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {}
         cut = [self.chunks(t) for t in texts]
-        self._learn(list(set().union(*cut) - self.known.keys()))
-        get = self.known.__getitem__
+        self._learn(self.memo.missing(set().union(*cut)))
+        get = self.memo.now.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 
