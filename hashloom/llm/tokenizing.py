@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 450_000
 GROUP = 50
 BARE = "\x01"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
