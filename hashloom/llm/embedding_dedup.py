@@ -1,17 +1,22 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass hashes a vector by the signs of its projections on random directions
-and sorts all vectors by these bits as one long key, so that vectors at a small
-angle, which agree in the leading bits, come to stand near each other. Every
-vector is compared with the next ``WINDOW`` in the order by its exact cosine.
-There are as many passes, each with directions of its own, as a pair at the
-threshold needs to meet in one of them with the wanted probability.
-
-A pass emits for each vector of a block one link to the root of its verified
-neighbours, not all pairs, so a large group of near copies costs rows in
-proportion to its size. Components of the union of the passes are then
-compared within themselves, in square blocks, which counts the links of every
-vector exactly. Blocks of a large component are spread over tasks.
+"""Near-duplicate vectors by buckets of projection signs, compared all with all.
+
+Each pass hashes a vector by the signs of its projections on ``bits`` random
+directions; vectors of equal signs share a bucket, and each bucket's vectors are
+all compared by their exact cosine, large buckets in square blocks over many
+tasks. A pair at the threshold agrees in one sign with probability
+``1 - acos(threshold) / pi``, whatever other vectors there are. ``passes_for``
+makes so many passes that it meets in one but for probability ``MISS``, so dense
+directions cost time and no links. With no bits, all pairs are compared, once.
+
+The bits are those of least cost, by the pairs that share buckets in a sample:
+evenly spread vectors take more bits the more rows there are; where most pairs
+are at dense directions, comparing them once is cheaper than in many passes.
+
+A block emits for each vector one link to the root of its verified neighbours,
+not all pairs, so a large group of near copies costs rows in proportion to its
+size. Components of the union of the passes are then compared within themselves,
+in square blocks, which counts the links of every vector exactly. Blocks of a
+large component are spread over tasks.
 """
 
 from __future__ import annotations
@@ -26,23 +31,40 @@ from pyspark.sql import functions as F
 from hashloom.llm.common import components, settle, written
 
 THRESHOLD = 0.95
-WINDOW = 128
 BITS = 48
 BLOCK = 1024
-MISS = 1e-4
-MOST_PASSES = 64
+#: Rows of a block in the passes at most, and numbers in it.
+LINK_BLOCK, LINK_NUMBERS = 8192, 1 << 19
+#: Probability that a pair at the threshold meets in no pass: so small that none is lost in tables of many millions of links.
+MISS = 1e-9
 ROWS_A_TASK = 25_000
-
-
-def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold, and with half its angle to spare elsewhere, is missed with probability ``miss``.
-
-    A pair meets in a pass if it agrees in the first ``log2(n / window)`` bits,
-    each of which differs with probability angle / pi.
-    """
-    bits = max(0.0, math.log2(max(n, 1) / window))
-    meet = (1 - math.acos((1 + threshold) / 2) / math.pi) ** bits
-    return 4 if meet >= 1 else min(MOST_PASSES, max(4, math.ceil(math.log(miss) / math.log(1 - meet))))
+#: Rows and passes of the sample that the bits are chosen by.
+SAMPLE, TRIED = 50_000, 4
+#: Seconds of a row in a pass, of a pair, and of a multiplication in a pair's product.
+A_ROW, A_PAIR, A_PRODUCT = 1e-5, 3e-9, 1e-10
+
+
+def passes_for(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold has shared no bucket of ``bits`` signs with probability ``miss`` at most."""
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if meet >= 1 else math.ceil(math.log(miss) / math.log1p(-meet))
+
+
+def cheapest(n: int, share: int, turns: np.ndarray, sizes: np.ndarray, keys: np.ndarray, threshold: float) -> int:
+    """Bits of least cost for ``n`` vectors, of which each ``share``-th has its keys of all ``BITS`` signs in ``TRIED`` passes here."""
+    order = np.lexsort((keys, sizes, turns))
+    turns, sizes, keys = turns[order], sizes[order], keys[order]
+    other = np.r_[True, (np.diff(turns) != 0) | (np.diff(sizes) != 0)][: len(keys)]
+    best, least = 0, math.inf
+    for bits in range(BITS + 1):
+        part = keys >> (BITS - bits)
+        at = np.flatnonzero(other | np.r_[True, np.diff(part) != 0][: len(keys)])
+        count = np.diff(np.r_[at, len(keys)])
+        pairs = count * (count - 1.0) / 2 * share**2 / TRIED
+        cost = passes_for(bits, threshold) * (n * A_ROW + float((pairs * (A_PAIR + A_PRODUCT * sizes[at])).sum()))
+        if cost < least:
+            best, least = bits, cost
+    return best
 
 
 def usable(vectors: DataFrame, column: str = "embedding"):
@@ -65,18 +87,19 @@ def directions(turn: int, size: int) -> np.ndarray:
     return np.random.default_rng([911, turn, size]).standard_normal((size, BITS))
 
 
-def _keyed(passes: int):
-    place = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+def _keyed(passes: int, bits: int, vectors: bool = True):
+    place = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
     def run(batches):
         for batch in batches:
             lengths = np.asarray(batch.column(1).value_lengths())
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
-                x = units(part.column(1))
+                x = units(part.column(1)) if bits else None
                 for turn in range(passes):
-                    key = ((x @ directions(turn, int(size))) > 0) @ place
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), turn), pa.int32()), pa.array(np.full(len(part), size), pa.int32()), pa.array(key, pa.int64()), part.column(0), part.column(1)], ["turn", "size", "key", "vec_id", "v"])
+                    key = ((x @ directions(turn, int(size))[:, :bits]) > 0) @ place if bits else np.zeros(len(part), dtype=np.int64)
+                    marks = [pa.array(np.full(len(part), turn), pa.int32()), pa.array(np.full(len(part), size), pa.int32()), pa.array(key, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(marks + part.columns if vectors else marks, ["turn", "size", "key", "vec_id", "v"][: 5 if vectors else 3])
 
     return run
 
@@ -94,50 +117,68 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _windows(window: int, threshold: float, block: int = 512):
-    def links(ids: np.ndarray, x: np.ndarray):
-        for low in range(0, len(x), block):
-            mine, near = x[low : low + block], x[low : low + block + window]
-            if len(near) < 2:
-                continue
-            gap = np.arange(len(near))[None, :] - np.arange(len(mine))[:, None]
-            a, b = np.nonzero((mine @ near.T >= threshold) & (gap > 0) & (gap <= window))
-            if len(a):
-                top = roots(len(near), a, b)
-                own = np.flatnonzero(top != np.arange(len(near)))
-                own_ids, top_ids = ids[low : low + len(near)][own], ids[low : low + len(near)][top[own]]
-                keep = own_ids != top_ids
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids[keep], pa.int64()), pa.array(top_ids[keep], pa.int64())], ["a", "b"])
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``i, j`` where ``x[i]`` and ``y[j]`` have the cosine ``threshold`` in double precision; single precision rules out most."""
+    slack = (x.shape[1] + 4) * 1.2e-7  # above the rounding error of a product of unit vectors
+    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= threshold - slack)
+    if len(i) > len(x) * 64:
+        return np.nonzero(x @ y.T >= threshold)
+    ok = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+    return i[ok], j[ok]
 
-    def run(batches):
-        held: list = []  # the order's rows since the last cut, all of one pass and size
-        at = None
 
-        def flush(keep: int):
-            nonlocal held
-            ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            yield from links(ids, x)
-            held = [(ids[-keep:], x[-keep:])] if keep else []
+def _linked(threshold: float, step: int = 512):
+    """Links of the vectors of each block to a root of their neighbours; one table has many small buckets or one pair of blocks."""
 
-        for batch in batches:
-            turns, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((np.diff(turns) != 0) | (np.diff(sizes) != 0)) + 1
-            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(turns)], strict=True):
-                if low == high:
-                    continue
-                if at != (turns[low], sizes[low]) and held:
-                    yield from flush(0)
-                at = (turns[low], sizes[low])
-                part = batch.slice(low, high - low)
-                held.append((part.column(3).to_numpy(), units(part.column(4))))
-                if sum(len(h[0]) for h in held) > 8 * block + window:
-                    yield from flush(window)
-        if held:
-            yield from flush(0)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([(c, "ascending") for c in ("turn", "size", "key", "low", "high")])
+        marks = np.stack([rows.column(c).to_numpy() for c in ("turn", "size", "key", "low", "high")])
+        ids, own = rows.column("vec_id").to_numpy(), rows.column("own").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), len(ids)]
+        vectors, found = rows.column("v"), []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a < 2:
+                continue
+            x = units(pa.concat_arrays(vectors.slice(a, b - a).chunks))
+            first, second = np.flatnonzero(own[a:b] == marks[3, a]), np.flatnonzero(own[a:b] == marks[4, a])
+            links = []
+            for low in range(0, len(first), step):
+                mine = first[low : low + step]
+                others = second[low:] if marks[3, a] == marks[4, a] else second  # within a block each pair once
+                i, j = near(x[mine], x[others], threshold)
+                if len(i):
+                    top = roots(b - a, mine[i], others[j])
+                    links.append(np.stack([np.flatnonzero(top != np.arange(b - a)), top[top != np.arange(b - a)]]))
+            if links:
+                top = roots(b - a, *np.concatenate(links, axis=1))
+                node, root = ids[a:b], ids[a:b][top]
+                found.append(np.stack([node, root])[:, node != root])
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pa.table([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def links(sound: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` that connect the ``n`` vectors of ``sound(vec_id, embedding)`` as all pairs at the threshold do."""
+    kind, marks = sound.schema["embedding"].dataType.simpleString(), "turn int, size int, key long"
+    share = math.ceil(n / SAMPLE) or 1
+    tried = sound.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(share)) == 0).mapInArrow(_keyed(TRIED, BITS, False), marks).toPandas()
+    bits = cheapest(n, share, *(tried[c].to_numpy(dtype=np.int64) for c in ("turn", "size", "key")), threshold)
+    passes = passes_for(bits, threshold)
+    # Blocks of an eighth of the rows, as far as they fit into a task.
+    most = F.greatest(F.lit(BLOCK), F.least(F.lit(max(1, min(LINK_BLOCK, math.ceil(n / 8)))), F.lit(LINK_NUMBERS) / F.col("size")))
+    large = sound.mapInArrow(_keyed(passes, bits, False), marks).groupBy("turn", "size", "key").agg(F.count("*").alias("n"))
+    large = written(large.select("turn", "size", "key", F.ceil(F.col("n") / most).cast("int").alias("blocks")).where("blocks > 1"), "buckets")
+    rows = sound.mapInArrow(_keyed(passes, bits), f"{marks}, vec_id long, v {kind}").join(F.broadcast(large), ["turn", "size", "key"], "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    tasks = max(64, n * passes // ROWS_A_TASK)
+    rows = rows.select("turn", "size", "key", low.alias("low"), high.alias("high"), "own", "vec_id", "v", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("turn", "size", "key"), F.lit(tasks))).otherwise(F.xxhash64("turn", "size", "key", low, high)).alias("task"))
+    return rows.groupBy("task").applyInArrow(_linked(threshold), "a long, b long")
+
+
 def _counted(threshold: float):
     """Links of each vector within its component's blocks; one table has many small components or one pair of blocks."""
 
@@ -163,7 +204,7 @@ def _counted(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``.
 
     Vectors that are null, empty, all 0, or hold null or non-finite components
@@ -176,12 +217,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     sound = written(rows.where(usable(rows) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"]), "vectors")
     n = sound.count()
-    passes = passes_for(n, window, threshold)
-    kind = sound.schema["embedding"].dataType.simpleString()
-    keyed = sound.mapInArrow(_keyed(passes), f"turn int, size int, key long, vec_id long, v {kind}")
-    tasks = max(passes, math.ceil(n * passes / ROWS_A_TASK))
-    ordered = keyed.repartitionByRange(tasks, "turn", "size", "key", "vec_id").sortWithinPartitions("turn", "size", "key", "vec_id")
-    found = components(ordered.mapInArrow(_windows(window, threshold), "a long, b long"))
+    found = components(links(sound, n, threshold))
     found = written(found, "components")
 
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -1,11 +1,14 @@
 """Operators of the subpackage against brute force, exact round trips and odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,6 +478,54 @@ def test_large_component_goes_in_blocks(spark, monkeypatch):
     assert {(x.n_links, x.component_id) for x in got} == {(149, 0)}
 
 
+def cone_table(n, seed, at):
+    """``n`` vectors, a third in a cone of mutual cosine 0.85, the first 1000 ids beside partners ``n + id`` at cosine 0.951."""
+    r, size = np.random.default_rng(seed), 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def beside(x, c):
+        u = r.standard_normal(x.shape)
+        return c * x + math.sqrt(1 - c * c) * unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+
+    def cone(across):
+        return np.concatenate([math.sqrt(0.15) * across, np.full((len(across), 1), math.sqrt(0.85))], axis=1)
+
+    inner, rest = unit(r.standard_normal((n // 3, size - 1))), unit(r.standard_normal((n - n // 3, size)))
+    x = np.concatenate([cone(inner[:500]), rest[:500], cone(inner[500:]), rest[500:], cone(beside(inner[:500], (0.951 - 0.85) / 0.15)), beside(rest[:500], 0.951)])
+    pq.write_table(pa.table([pa.array(np.arange(n + 1000)), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "embedding"]), at)
+    return x
+
+
+def test_links_in_a_dense_cone_are_whole(spark, tmp_path):
+    n = 100_000
+    cone_table(n, 11, tmp_path / "cone.parquet")
+    got = {x.vec_id: x.component_id for x in embedding_dedup.near_vectors(spark.read.parquet(f"file://{tmp_path}/cone.parquet").repartition(8)).collect()}
+    assert len(got) == n + 1000
+    assert [i for i in range(1000) if got[i] != got[n + i]] == []
+
+
+@pytest.mark.parametrize("bits", [0, 3, 7])
+def test_links_with_any_bits_equal_brute_force(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(embedding_dedup, "cheapest", lambda *a: bits)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    x = cone_table(3000, 12, tmp_path / "cone.parquet")
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_vectors(spark.read.parquet(f"file://{tmp_path}/cone.parquet")).collect()}
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert [i for i in got if got[i] != want[i]] == []
+
+
+def test_bits_follow_density():
+    r = np.random.default_rng(13)
+    even, one = r.integers(0, 1 << embedding_dedup.BITS, 4 * 50_000), np.zeros(4 * 50_000, dtype=np.int64)
+    turns, sizes = np.repeat(np.arange(4), 50_000), np.full(4 * 50_000, 64)
+    bits = [embedding_dedup.cheapest(50_000 * k, k, turns, sizes, even, 0.95) for k in (1, 20, 400)]
+    assert bits == sorted(bits) and bits[1] > 0
+    assert embedding_dedup.cheapest(50_000 * 20, 20, turns, sizes, one, 0.95) == 0
+    assert embedding_dedup.passes_for(0) == 1
+    for bits in (1, 10, 20):
+        assert (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** embedding_dedup.passes_for(bits) <= embedding_dedup.MISS
+
+
 # shared
 
 
