@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.common import components, free_shuffles, settle, written
@@ -119,7 +119,7 @@ def _signed(batches):
             sets = shingler.sets(texts[low:high])
             signature = signatures(sets)
             short = mix(signature).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array([node_of(s) for s, _ in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([node_of(s) for s, _ in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "body", "node", "bands", "sig"])
     del shingler
     tidy()
 
@@ -190,26 +190,30 @@ def _linked(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, kept``.
+def body_of() -> Column:
+    """A hash of the text as it stands; with the id, the name of a row."""
+    return F.xxhash64(F.col("text").cast("string"))
 
-    ``class_id`` is the smallest ``doc_id`` of the texts that links reach; the row
-    with that id is kept. Null and empty texts are one node, so are texts of the
-    same words. A text of fewer than five words is similar only to itself. Rows that
-    repeat are in one class and marked alike. A null id is above all others. An
-    empty table gives no row; other columns are not read.
-    """
+
+def least_row() -> Column:
+    """The row of the smallest id, a null id above all others; of rows that repeat it, the one of the smallest hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body"))
+
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, body, component``; rows of one component are one class."""
     settle(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signed, "doc_id long, node long, bands array<long>, sig binary"), "signed")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), body_of().alias("body"))
+    signed = written(docs.mapInArrow(_signed, "doc_id long, body long, node long, bands array<long>, sig binary"), "signed")
+    nodes = signed.groupBy("node").agg(least_row().alias("at"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = written(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.body").alias("body"), "bands", "sig"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     buckets = written(rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = written(rows.join(buckets, "key"), "shared")  # the rows of nodes that share a bucket
     free_shuffles(docs.sparkSession)
 
-    wanted = shared.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("at")), "node")
-    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("node", "text")
+    wanted = shared.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("at"), F.col("body").alias("its")), "node")
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("body") == F.col("its"))).select("node", "text")
     sets = written(sets.mapInArrow(_sets_of, "node long, set binary").dropDuplicates(["node"]), "sets")
     free_shuffles(docs.sparkSession)
 
@@ -227,16 +231,33 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = rest.select("key", low.alias("low"), high.alias("high"), "own", "node", "component", "sig", "bands", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", low, high)).alias("task"))
     more = written(rest.groupBy("task").applyInArrow(_linked, "a long, b long"), "more")
     final = components(links.unionAll(more)) if not more.isEmpty() else first
-    placed = signed.select("doc_id", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = signed.select("doc_id", "body", "node").join(final, "node", "left")
+    return placed.select("doc_id", "body", F.coalesce("component", "node").alias("component"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, kept``.
+
+    ``class_id`` is the smallest ``doc_id`` of the texts that links reach; the row
+    with that id is kept. Null and empty texts are one node, so are texts of the
+    same words. A text of fewer than five words is similar only to itself. Rows that
+    repeat are in one class and marked alike. A null id is above all others. An
+    empty table gives no row; other columns are not read.
+    """
+    placed = placed_rows(docs)
     least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return placed.join(least, "component").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one row of each class: the one of the smallest id; of rows that repeat that id, one of the first text."""
-    kept = classes(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    mine = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return mine.dropDuplicates(["doc_id"])
+    """``docs``, all columns, with one row of each class: the one of the smallest id; of rows that repeat that id, one of one text.
+
+    Ids may be null or repeat: classes are told apart by their texts.
+    """
+    kept = placed_rows(docs).groupBy("component").agg(least_row().alias("at")).select(F.col("at.doc_id").alias("__id"), F.col("at.body").alias("__at"))
+    mine = docs.withColumn("__body", body_of())
+    mine = mine.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__at")), "left_semi")
+    return mine.dropDuplicates(["doc_id", "__body"]).drop("__body")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

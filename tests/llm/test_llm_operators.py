@@ -242,6 +242,21 @@ def test_near_dedup_equals_brute_force(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    texts = [prose(r, 60) for _ in range(12)]
+    near = lambda t: " ".join([*t.split(), "more"])
+    rows = [(None, t) for t in texts[:4]] + [(None, near(texts[0])), (None, texts[1])]  # four classes, none with an id
+    rows += [(7, t) for t in texts[4:7]] + [(7, near(texts[4])), (7, texts[5])]  # three classes of one id
+    rows += [(8, texts[7]), (8, near(texts[8])), (3, texts[8]), (None, near(texts[7])), (None, None), (None, ""), (9, texts[9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.representatives(docs).collect()
+    source = {t: k for k, t in enumerate(texts)} | {near(t): k for k, t in enumerate(texts)} | {None: -1, "": -1}
+    assert sorted(source[x.text] for x in got) == [-1, *range(10)]
+    ids = {source[x.text]: x.doc_id for x in got}
+    assert ids == {-1: None, 0: None, 1: None, 2: None, 3: None, 4: 7, 5: 7, 6: 7, 7: 8, 8: 3, 9: 9}
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, 400, dtype=np.uint64)
