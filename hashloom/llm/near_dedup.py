@@ -12,7 +12,7 @@
 4. *Verification.* Pairs are compared by their shingle sets; those at
    ``THRESHOLD`` or above link, and links make components.
 5. *The rest.* Nodes of one bucket that are still in different components are
-   compared all with all where they lie, first by signature, then by their sets,
+   compared all with all where they lie, first by exact bounds, then by their sets,
    each pair in the first bucket it shares; only links leave a task. Large buckets
    go in square blocks over many tasks. So no pair that shares a bucket can lose
    its link; a pair at the threshold shares none with probability 1.5e-5.
@@ -33,8 +33,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
-#: Below this agreement of signatures a pair is not compared further: four deviations under the threshold.
-AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Parts that the hashes of a set are counted by, for a bound of what two sets have in common.
+PARTS = 256
 BLOCK = 2048
 #: Rows of mixed buckets for each group of the last comparison.
 ROWS_A_TASK = 2000
@@ -118,8 +118,7 @@ def _signed(batches):
         for low, high in text_slices(texts, 2_000_000):
             sets = shingler.sets(texts[low:high])
             signature = signatures(sets)
-            short = mix(signature).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([node_of(s) for s, _ in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "body", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([node_of(s) for s, _ in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64()))], ["doc_id", "body", "node", "bands"])
     del shingler
     tidy()
 
@@ -143,6 +142,21 @@ def jaccard(a: bytes, b: bytes) -> float:
     return common / (len(both) - common)
 
 
+def parted(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets, and how many of each one's hashes lie in each part."""
+    sizes = np.array([len(s) // 4 for s in sets], dtype=np.int64)
+    parts = np.frombuffer(b"".join(sets), dtype=np.uint32) % np.uint32(PARTS)
+    counts = np.bincount(np.repeat(np.arange(len(sets)), sizes) * PARTS + parts, minlength=len(sets) * PARTS)
+    return sizes, counts.reshape(len(sets), PARTS).astype(np.int32)
+
+
+def may_link(sizes: np.ndarray, counts: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Those of ``j`` that can be similar enough to ``i``: in no part can sets share more than the smaller count."""
+    j = j[np.minimum(sizes[j], sizes[i]) >= THRESHOLD * np.maximum(sizes[j], sizes[i])]
+    common = np.minimum(counts[j], counts[i]).sum(axis=1)
+    return j[common >= THRESHOLD * (sizes[j] + sizes[i] - common) - 1e-6]
+
+
 def _verified(batches):
     for batch in batches:
         ok = [jaccard(x, y) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -160,24 +174,24 @@ def _linked(rows: pa.Table) -> pa.Table:
     """Links between components among the nodes of a bucket; several buckets may come in one table.
 
     A pair is looked at in the first bucket that its nodes share, if their components
-    have not met in this table yet: by signature, then by sets.
+    have not met in this table yet: by bounds that no similar pair breaks, then by sets.
     """
     rows = rows.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
     marks = np.stack([rows.column(c).to_numpy() for c in ("key", "low", "high")])
     node, own = (rows.column(c).to_numpy() for c in ("node", "own"))
     group = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
     label = np.arange(len(group))  # of each group, the least group it has met
-    sigs, sets = rows.column("sig").to_pylist(), rows.column("set").to_pylist()
+    sets = rows.column("set").to_pylist()
     bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64).reshape(len(node), -1)
     cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), len(node)]
     found = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        sig = np.frombuffer(b"".join(sigs[a:b]), dtype=np.uint8).reshape(b - a, -1)
+        sizes, counts = parted(sets[a:b])
         left, right = own[a:b] == marks[1, a], own[a:b] == marks[2, a]
         for i in np.flatnonzero(left):
             mine = label[group[a + i]]
             j = np.flatnonzero(right & (label[group[a:b]] != mine) & ((node[a:b] > node[a + i]) | (marks[1, a] != marks[2, a])))
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE] if len(j) else j
+            j = may_link(sizes, counts, i, j) if len(j) else j
             if not len(j):
                 continue
             same = bands[a + j] == bands[a + i]
@@ -204,9 +218,9 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, body, component``; rows of one component are one class."""
     settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), body_of().alias("body"))
-    signed = written(docs.mapInArrow(_signed, "doc_id long, body long, node long, bands array<long>, sig binary"), "signed")
-    nodes = signed.groupBy("node").agg(least_row().alias("at"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = written(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.body").alias("body"), "bands", "sig"), "nodes")
+    signed = written(docs.mapInArrow(_signed, "doc_id long, body long, node long, bands array<long>"), "signed")
+    nodes = signed.groupBy("node").agg(least_row().alias("at"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.body").alias("body"), "bands"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     buckets = written(rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = written(rows.join(buckets, "key"), "shared")  # the rows of nodes that share a bucket
@@ -225,10 +239,10 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x <> y and n > 2")
     mixed = written(mixed.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     tasks = max(64, (mixed.agg(F.sum("n")).first()[0] or 0) // ROWS_A_TASK)
-    rest = placed.select("key", "node", "component").join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "sig", "bands"), "node").join(sets, "node")
+    rest = placed.select("key", "node", "component").join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "bands"), "node").join(sets, "node")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rest = rest.select("key", low.alias("low"), high.alias("high"), "own", "node", "component", "sig", "bands", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", low, high)).alias("task"))
+    rest = rest.select("key", low.alias("low"), high.alias("high"), "own", "node", "component", "bands", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", low, high)).alias("task"))
     more = written(rest.groupBy("task").applyInArrow(_linked, "a long, b long"), "more")
     final = components(links.unionAll(more)) if not more.isEmpty() else first
     placed = signed.select("doc_id", "body", "node").join(final, "node", "left")

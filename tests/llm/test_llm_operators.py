@@ -257,6 +257,21 @@ def test_representatives_of_null_and_repeated_ids(spark):
     assert ids == {-1: None, 0: None, 1: None, 2: None, 3: None, 4: 7, 5: 7, 6: 7, 7: 8, 8: 3, 9: 9}
 
 
+def test_leftover_pairs_are_judged_by_sets_alone():
+    """Nodes of one bucket whose other registers all differ, as a pair of similar sets may by chance."""
+    r = np.random.default_rng(4)
+    for size in (5, 80, 3000):
+        own = [np.unique(r.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32)) for _ in range(3)]
+        close = np.unique(np.concatenate([own[0][: math.ceil(0.9 * size)], own[1][: size // 20]]))
+        sets = [x.tobytes() for x in (*own, close)]
+        bands = [[1, *(100 * k + b for b in range(1, near_dedup.BANDS))] for k in range(4)]
+        sig = [bytes([k] * near_dedup.REGISTERS) for k in range(4)]
+        rows = {"key": [1] * 4, "low": [0] * 4, "high": [0] * 4, "own": [0] * 4, "node": [1, 2, 3, 4], "component": [1, 2, 3, 4], "sig": sig, "bands": bands, "set": sets}
+        found = near_dedup._linked(pa.table(rows))
+        want = [(a + 1, b + 1) for a in range(4) for b in range(a + 1, 4) if near_dedup.jaccard(sets[a], sets[b]) >= near_dedup.THRESHOLD]
+        assert want == [(1, 4)] and list(zip(*(c.to_pylist() for c in found.columns), strict=True)) == want
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, 400, dtype=np.uint64)
