@@ -163,6 +163,14 @@ def test_labels_of_held_out_rows_are_not_read(spark):
         assert sorted(map(tuple, op(docs, labels).collect())) == sorted(map(tuple, op(docs, flipped).collect()))
 
 
+def test_toxicity_keeps_every_gram(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 20, raising=False)
+    docs = spark.createDataFrame([(i, f"plain words number {i} {'vile' if i % 9 == 0 else 'mild'}") for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 9 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    counts = toxicity.fit(docs, labels).counts
+    assert {g for w in ("plain", "mild", "vile") for g in toxicity.grams(w)} <= counts.keys()
+
+
 def test_kneser_ney_sums_to_one():
     counts = {}
     for w, pair in {"abc": (3, 0), "abd": (1, 2), "bcd": (0, 5)}.items():
