@@ -5,13 +5,14 @@ The field reads tokens (runs of characters that are not white space) near any
 that holds a digit, ``@`` or ``+``: every label of the field but "outside" needs
 such a token within reach, so the rest of a text is outside. Its features are
 word shapes of a token and of its neighbours; it is fitted by maximum
-likelihood on ``LABELLED`` and decoded by Viterbi over numpy batches of windows.
+likelihood on a small labelled table and decoded by Viterbi over numpy batches of windows.
 A decoded span is added if it meets the rules of its kind and overlaps no base
 span.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -30,11 +31,18 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# The same matches in time linear in the text: an address is looked for from its @, an IP from the start of a run of digits only.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _HOT = re.compile(r"[0-9@+]")
 _TOKEN = re.compile(r"\S+")
 REACH = 3
+#: Places of windows that are decoded together, unless one window alone has more.
+CELLS = 100_000
 
 LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
 #: Sentences with spans marked as ``[kind|text]``: the labelled table.
@@ -52,6 +60,25 @@ LABELLED = (
     "id 1234567890123456 of the row", "lat 52.5200 lon 13.4050 on the map", "hash deadbeefcafebabe0123 at 77", "score 10-8, 7-5 and 6-4 in 1999", "no numbers here at all", "the year 2020-2021 was long", "top 10 of 100 in 5.5 s",
 )
 
+#: Values that stand side by side in more rows of the labelled table, each kind before each.
+VALUES = {
+    "email": ("x.y@example.org", "liu_wei@mail.example.com", "kim-7@sub.example.net", "ada+b@example.co"),
+    "ip": ("10.20.30.40", "192.0.2.17", "203.0.113.5", "8.9.10.211"),
+    "card": ("4000056655665556", "5105 1051 0510 5100", "6011-0009-9013-9424", "378282246310005"),
+    "phone": ("+1 (212) 555-0147", "(512) 555-0166", "+44 20 7946 0011", "646-555-0120"),
+}
+_AROUND = (("of", "and"), ("call", "today"), ("la", "de"), ("sehen", "oder"))
+
+
+def labelled() -> list[str]:
+    """The labelled table: ``LABELLED``, and every kind directly before every kind."""
+    more = []
+    for i, a in enumerate(KINDS):
+        for j, b in enumerate(KINDS):
+            for turn, (lead, tail) in enumerate(_AROUND):
+                more.append(f"{lead} [{a}|{VALUES[a][turn]}] [{b}|{VALUES[b][(turn + i + j + 1) % 4]}] {tail}")
+    return [*LABELLED, *more]
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -71,47 +98,62 @@ def lawful(kind: str, text: str, strict: bool = True) -> bool:
         return all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in text.split(".")) if strict else bool(IP.fullmatch(text)) and lawful(kind, text)
     digits = _NOT_DIGIT.sub("", text)
     if kind == "card":
-        return 14 <= len(digits) <= 19 and luhn(digits)
+        return 14 <= len(digits) <= 19 and luhn(digits) and (strict or not re.search(r"[^\W\d]", text))
     return 10 <= len(digits) <= 15 and (strict or bool(re.fullmatch(r"\+?[0-9(][0-9() .-]+[0-9]", text)) and bool(re.search(r"[() -]", text)))
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of ``EMAIL``. What stands before an ``@`` reaches back to the last other character, ``@`` or match."""
+    out, free, p = [], 0, text.find("@")
+    while p >= 0:
+        start = free + len(text[free:p].rstrip(_LOCAL))
+        m = _DOMAIN.match(text, p) if start < p else None
+        if m:
+            out.append((start, m.end()))
+        free = m.end() if m else p + 1
+        p = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, place of the kind in KINDS, end)``, in order."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out = [(a, 0, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        for place, pattern in ((1, IP), (2, CARD), (3, PHONE)):
-            if place == 3 and "+" not in text:
-                continue
+        for place, pattern in ((1, _IP), (2, _CARD), (3, PHONE)):
             out += [(m.start(), place, m.end()) for m in pattern.finditer(text) if lawful(KINDS[place], m.group())]
-        out.sort()
-    return out
+    return sorted(out)
 
 
 # The field.
 
 _LETTER = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"d+")
+#: Tokens up to this length are remembered with their features; longer ones are worked out anew.
+REMEMBERED = 64
 
 
-@functools.lru_cache(maxsize=50_000)
 def shape(token: str) -> str:
     """Letters as ``a`` (runs as one), digits as ``d`` and their number up to 5, other characters as they are."""
-    s = _LETTER.sub("\x00", token[:60])
+    s = _LETTER.sub("\x00", token)
     s = "".join("d" if c.isdigit() else c for c in s)
-    return _RUN.sub(lambda m: f"d{min(len(m.group()), 5)}", s).replace("\x00", "a")[:24]
+    return _RUN.sub(lambda m: f"d{min(len(m.group()), 5)}", s).replace("\x00", "a")
 
 
 def token_features(token: str) -> list[str]:
     s = shape(token)
+    core = s.strip(_EDGE_LEFT + _EDGE_RIGHT + "#$%&*|")
     n = sum(map(str.isdigit, token))
-    found = [f"s={s}", f"n={min(n, 20) if n < 5 else 5 + min((n - 5) // 3, 5)}", f"f={s[:1]}", f"l={s[-1:]}", f"@={'@' in token}", f".={min(token.count('.'), 4)}", f"a={any(map(str.isalpha, token))}", f"+={token[:1] == '+'}"]
+    found = [f"s={s}", f"c={core}", f"n={min(n, 20) if n < 5 else 5 + min((n - 5) // 3, 5)}", f"f={s[:1]}", f"l={s[-1:]}", f"@={'@' in token}", f".={min(token.count('.'), 4)}", f"a={any(map(str.isalpha, token))}", f"+={token[:1] == '+'}"]
+    if re.fullmatch(r"(d[123]\.){3}d[123]", core):
+        found.append("quad")
     if n == 0 and "@" not in token:
         found.append("plain")
     return found
 
 
+_EDGE_LEFT, _EDGE_RIGHT = "([{<\"'«“:;,", ".,;:!?)]}>\"'»”"
+
+
 class Field:
     """Weights of emissions (this token, the one before, the one after) and of transitions."""
 
@@ -123,10 +165,11 @@ class Field:
         """A row for the token's own place, for the place after it, and for the place before it."""
         got = self._known.get(token)
         if got is None:
-            if len(self._known) > 50_000:
-                self._known.clear()
-            at = [self.names[f] for f in token_features(token) if f in self.names]
-            got = self._known[token] = self.emit[:, at].sum(axis=1)
+            got = self.emit[:, [self.names[f] for f in token_features(token) if f in self.names]].sum(axis=1)
+            if len(token) <= REMEMBERED:
+                if len(self._known) > 50_000:
+                    self._known.clear()
+                self._known[token] = got
         return got
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
@@ -140,8 +183,12 @@ class Field:
         """Viterbi labels of each window; windows of like length are decoded together."""
         out: list = [None] * len(windows)
         order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-        for low in range(0, len(order), 512):
-            some = order[low : low + 512]
+        high = 0
+        while high < len(order):
+            low, high = high, high + 1
+            while high < len(order) and (high - low) < 512 and (high + 1 - low) * len(windows[order[high]]) <= CELLS:
+                high += 1
+            some = order[low:high]
             sizes = np.array([len(windows[i]) for i in some])
             e = np.zeros((len(some), sizes.max(), len(LABELS)))
             for row, i in enumerate(some):
@@ -198,52 +245,58 @@ def tokens_of(marked: str) -> tuple[list[str], list[int]]:
 
 @functools.lru_cache(maxsize=1)
 def fitted(rounds: int = 200, ridge: float = 0.02) -> Field:
-    """The field of greatest penalised likelihood on the labelled table (Adam; forward-backward in the log domain)."""
-    data = [tokens_of(x) for x in LABELLED]
-    names = {f: i for i, f in enumerate(sorted({f for tokens, _ in data for t in tokens for f in token_features(t)}))}
-    k, m = len(LABELS), len(names)
-    theta = [np.zeros((3, m, k)), np.zeros((k, k))]
-    moment = [[np.zeros_like(x) for x in theta] for _ in range(2)]
-    rows = [[[names[f] for f in token_features(t)] for t in tokens] for tokens, _ in data]
+    """The field of greatest penalised likelihood on the labelled table.
 
-    def added(x, axis):
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+    Adam on the gradient of forward-backward sums in the log domain, all sentences at once;
+    a place beyond a sentence's end has no features and label "outside", and counts for nothing.
+    """
+    data = [tokens_of(x) for x in labelled()]
+    names = {f: i for i, f in enumerate(sorted({f for tokens, _ in data for t in tokens for f in token_features(t)}))}
+    k, m, n, most = len(LABELS), len(names), len(data), max(len(tokens) for tokens, _ in data)
+    size = np.array([len(tokens) for tokens, _ in data])
+    live = np.arange(most) < size[:, None]
+    gold = np.zeros((n, most), dtype=np.int64)
+    seen = np.zeros((n, most, m))
+    for i, (tokens, labels) in enumerate(data):
+        gold[i, : len(labels)] = labels
+        for t, token in enumerate(tokens):
+            seen[i, t, [names[f] for f in token_features(token)]] = 1
+    # Features of a place's own token, of the one before it and of the one after it.
+    before, after = np.zeros_like(seen), np.zeros_like(seen)
+    before[:, 1:], after[:, :-1] = seen[:, :-1], seen[:, 1:]
+    x = np.concatenate([seen, before, after], axis=2)[live]
+    pairs = np.zeros((k, k))
+    both = live[:, 1:]
+    np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+    theta = [np.zeros((3 * m, k)), np.zeros((k, k))]
+    moment = [[np.zeros_like(t) for t in theta] for _ in range(2)]
+
+    def added(values, axis):
+        top = values.max(axis=axis, keepdims=True)
+        return (top + np.log(np.exp(values - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
     for r in range(1, rounds + 1):
-        grad = [-ridge * x for x in theta]
         step = theta[1] + BARRED
-        for at, (_, labels) in zip(rows, data, strict=True):
-            n = len(at)
-            e = np.stack([theta[0][0][a].sum(axis=0) for a in at])
-            e[1:] += np.stack([theta[0][1][a].sum(axis=0) for a in at[:-1]])
-            e[:-1] += np.stack([theta[0][2][a].sum(axis=0) for a in at[1:]])
-            ahead, behind = np.zeros((n, k)), np.zeros((n, k))
-            ahead[0] = e[0] + START
-            for t in range(1, n):
-                ahead[t] = added(ahead[t - 1][:, None] + step, 0) + e[t]
-            for t in range(n - 2, -1, -1):
-                behind[t] = added(step + (e[t + 1] + behind[t + 1])[None, :], 1)
-            z = added(ahead[-1], 0)
-            d = -np.exp(ahead + behind - z)
-            d[np.arange(n), labels] += 1
-            for t, a in enumerate(at):
-                grad[0][0][a] += d[t]
-                if t + 1 < n:
-                    grad[0][1][a] += d[t + 1]
-                if t:
-                    grad[0][2][a] += d[t - 1]
-            for t in range(1, n):
-                grad[1] -= np.exp(ahead[t - 1][:, None] + step + (e[t] + behind[t])[None, :] - z)
-                grad[1][labels[t - 1], labels[t]] += 1
-        for x, g, a, b in zip(theta, grad, *moment, strict=True):
+        e = np.zeros((n, most, k))
+        e[live] = x @ theta[0]
+        ahead, behind = np.zeros_like(e), np.zeros_like(e)
+        ahead[:, 0] = e[:, 0] + START
+        for t in range(1, most):
+            ahead[:, t] = added(ahead[:, t - 1, :, None] + step, 1) + e[:, t]
+        for t in range(most - 2, -1, -1):
+            through = added(step[None] + (e[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+            behind[:, t] = np.where(live[:, t + 1, None], through, 0)
+        z = added(ahead[np.arange(n), size - 1], 1)
+        d = -np.exp(ahead + behind - z[:, None, None])
+        d[np.arange(n)[:, None], np.arange(most), gold] += 1
+        joint = np.exp(ahead[:, :-1, :, None] + step + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None])
+        grad = [x.T @ d[live] - ridge * theta[0], pairs - (joint * both[:, :, None, None]).sum(axis=(0, 1)) - ridge * theta[1]]
+        for own, g, a, b in zip(theta, grad, *moment, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
-            x += 0.1 * (a / (1 - 0.9**r)) / (np.sqrt(b / (1 - 0.99**r)) + 1e-8)
-    return Field(names, theta[0], theta[1] + BARRED)
-
-
-_EDGE_LEFT, _EDGE_RIGHT = "([{<\"'«“:;,", ".,;:!?)]}>\"'»”"
+            own += 0.1 * (a / (1 - 0.9**r)) / (np.sqrt(b / (1 - 0.99**r)) + 1e-8)
+    # A token's vectors: for its own place, for the place after it, and for the place before it.
+    return Field(names, np.stack(np.split(theta[0], 3)), theta[1] + BARRED)
 
 
 def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
@@ -251,7 +304,7 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     body = text[start:end]
     while body and body[0] in _EDGE_LEFT and not (kind == "phone" and body[0] == "(" and body.count(")")):
         body, start = body[1:], start + 1
-    while body and body[-1] in _EDGE_RIGHT:
+    while body and body[-1] in _EDGE_RIGHT + "#$%&*|":
         body, end = body[:-1], end - 1
     return start, end
 
@@ -279,11 +332,29 @@ def windows_of(text: str) -> list[list[tuple[int, int]]]:
     return [tokens[a:b] for a, b in runs]
 
 
+def joined(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that overlapping spans make, ascending."""
+    starts, ends = [], []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def overlaps(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    at = bisect.bisect_right(taken[1], a)  # the first run that ends after a
+    return at < len(taken[0]) and taken[0][at] < b
+
+
 def find(texts: list[str], field: Field) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Base spans and added spans of each text."""
     base = [base_spans(t) for t in texts]
     places = [(i, w) for i, t in enumerate(texts) for w in windows_of(t)]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    taken = [joined(x) for x in base]
     labels = field.decode([[texts[i][a:b] for a, b in w] for i, w in places])
     for (i, w), path in zip(places, labels, strict=True):
         t = 0
@@ -293,7 +364,7 @@ def find(texts: list[str], field: Field) -> tuple[list[list[tuple[int, int, int]
                 while end < len(path) and path[end] == 2 * kind + 2:
                     end += 1
                 a, b = trimmed(texts[i], w[t][0], w[end - 1][1], KINDS[kind])
-                if a < b and lawful(KINDS[kind], texts[i][a:b], strict=False) and not any(a < e and s < b for s, _, e in base[i]):
+                if a < b and lawful(KINDS[kind], texts[i][a:b], strict=False) and not overlaps(taken[i], a, b):
                     added[i].append((a, kind, b))
                 t = end
             else:

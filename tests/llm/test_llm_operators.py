@@ -462,6 +462,79 @@ def test_field_adds_and_spares(spark):
     assert [(x.text, x.n_chars) for x in out] == [("ring <PHONE> or write to <EMAIL>", 32), (None, 0), ("none", 4)]
 
 
+#: Sentences that the field is not fitted on; marked where the field or a pattern should find a span.
+HELD_OUT_SENTENCES = (
+    "please phone [phone|(206) 555-0143] before ten", "you reach us at [phone|+1 (404) 555-0190] [ip|10.8.0.3] always", "router [ip|192.0.2.200] answered twice", "schreiben an [email|jürgen.groß@beispiel.de] bitte", "card no. [card|3566 0020 2036 0505] is valid",
+    "téléphone [phone|+33 6 12 34 56 78] merci", "room 12 has 14 chairs since 1987", "order 998877 of 2020 weighs 3.5 kg", 'token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" expired', "or [phone|+1 (909) 555-0172] [phone|+1 (310) 555-0118] please", "version 2.10.4 and page 77",
+    "[card|3714.496353.98431] was charged", "the [phone|(702) 555-0161], then [email|a@b.example] wrote", "ids 1234 and 5678 match 9 of 10", "paid by [card|4000056655665556] [ip|172.16.9.9] then", "und [phone|+1 (415) 555-0108] [card|5105105105105100] sehen",
+)
+
+
+def test_field_on_held_out_sentences():
+    assert not set(HELD_OUT_SENTENCES) & set(pii.labelled())
+    adds = 0
+    for marked in HELD_OUT_SENTENCES:
+        text, want, at = "", [], 0
+        for m in re.finditer(r"\[(\w+)\|([^\]]*)\]", marked):
+            text += marked[at : m.start()]
+            want.append((len(text), pii.KINDS.index(m.group(1)), len(text) + len(m.group(2))))
+            text, at = text + m.group(2), m.end()
+        text += marked[at:]
+        base, added = pii.find([text], pii.fitted())
+        assert sorted(base[0] + added[0]) == want, marked
+        adds += len(added[0])
+    assert adds >= 7  # the patterns alone miss these
+
+
+def test_spans_equal_a_plain_decoding():
+    """Every window by itself, Viterbi by dictionary, rules one span at a time."""
+    r, field = random.Random(12), pii.fitted()
+    bits = [v for values in pii.VALUES.values() for v in values] + ["(988) 555-2485", "of", "the", "12", "1998,", "call", "k.weiß@beispiel.de", "+1", "a@b", "x9", '"ab12cd"', "4111111111111112", "9.9"]
+    texts = [" ".join(r.choice(bits) if r.random() < 0.5 else "word" for _ in range(r.randint(0, 25))) for _ in range(300)]
+    base, added = pii.find(texts, field)
+    assert sum(map(len, added)) > 100
+    for text, b, found in zip(texts, base, added, strict=True):
+        want, places = [], [m.span() for m in re.finditer(r"\S+", text)]
+        hot = [bool(re.search("[0-9@+]", text[s:e])) for s, e in places]
+        near = [any(hot[max(0, i - 3) : i + 4]) for i in range(len(places))]
+        i = 0
+        while i < len(places):
+            if not near[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(places) and near[j]:
+                j += 1
+            e = field.emissions([text[s:t] for s, t in places[i:j]])
+            best = {k: (pii.START[k] + e[0, k], (k,)) for k in range(len(pii.LABELS))}
+            for row in e[1:]:
+                best = {k: max((v + field.step[q, k] + row[k], (*path, k)) for q, (v, path) in best.items()) for k in best}
+            path = max(best.values())[1]
+            for x, label in enumerate(path):
+                if label and not (label % 2 == 0 and x and path[x - 1] in (label - 1, label)):
+                    y = x + 1
+                    while y < len(path) and path[y] == label + label % 2 and path[y] % 2 == 0:
+                        y += 1
+                    kind = pii.KINDS[(label - 1) // 2]
+                    s, t = pii.trimmed(text, places[i + x][0], places[i + y - 1][1], kind)
+                    if s < t and pii.lawful(kind, text[s:t], strict=False) and all(t <= u or v <= s for u, _, v in b):
+                        want.append((s, (label - 1) // 2, t))
+            i = j
+        assert found == want, text
+
+
+def test_pii_takes_linear_time():
+    import time
+
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "a@" * 500_000, "1." * 500_000, "+1" * 500_000, "@" + "a." * 500_000):
+        began = time.time()
+        pii.base_spans(text)
+        assert time.time() - began < 2
+    began = time.time()
+    pii.find(["1" * 1_000_000, "x" * 500_000 + "@" + "y" * 499_999], pii.fitted())
+    assert time.time() - began < 10
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
