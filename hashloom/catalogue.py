@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hashloom import schemas
 from hashloom.ext import queries as extensions
 from hashloom.functions import commands, counters, digests, exotic, hostcheck, ids, status
-from hashloom.operators import chunking, resolving, results, store
-from hashloom.sources import tables
+from hashloom.operators import chunking, dispatching, ordering, resolving, results, store
+from hashloom.plans import running
+from hashloom.sources import tables, writing
+from hashloom.sources.shared import fresh_path, kept
 from hashloom.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,24 +276,26 @@ def memoize_summary(spark, d):
 
 
 @query(
-    f"""with {_D}, r as (select event_id, user_id, sha256(text) as h from events join documents on doc_id = event_id % 100), s as (select distinct hash from d where doc_id % 3 <> 0)
+    f"""with {_D}, r as (select event_id, user_id, sha256(text) as h from events join documents on doc_id = event_id % (select count(*) from documents)), s as (select distinct hash from d where doc_id % 3 <> 0)
     select user_id, count(*) as complete from r where h in (select hash from s) group by user_id"""
 )
 def hit_completeness(spark, d):
     held = _sized(tables.read(spark, d, "documents").where("doc_id % 3 <> 0"))
     blobs = _sized(tables.read(spark, d, "documents"), "doc_id").select("doc_id", F.struct("hash", "size_bytes").alias("out"))
-    cached = tables.read(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 100).alias("doc_id")).join(blobs, "doc_id")
+    n = tables.read(spark, d, "documents").count()
+    cached = tables.read(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % n).alias("doc_id")).join(blobs, "doc_id")
     return results.complete_hits(cached, F.array("out"), held.distinct(), "event_id").groupBy("user_id").agg(F.count("*").alias("complete"))
 
 
 @query(
     f"""with {_D}, s as (select distinct hash, size_bytes from d where doc_id % 3 <> 0)
-    select event_id from events join d on doc_id = event_id % 100 where hash in (select hash from s)"""
+    select event_id from events join d on doc_id = event_id % (select count(*) from documents) where hash in (select hash from s)"""
 )
 def upsert_precondition(spark, d):
     held = _sized(tables.read(spark, d, "documents").where("doc_id % 3 <> 0"))
     blobs = _sized(tables.read(spark, d, "documents"), "doc_id").select("doc_id", F.struct("hash", "size_bytes").alias("command"))
-    updates = tables.read(spark, d, "events").select("event_id", (F.col("event_id") % 100).alias("doc_id")).join(blobs, "doc_id")
+    n = tables.read(spark, d, "documents").count()
+    updates = tables.read(spark, d, "events").select("event_id", (F.col("event_id") % n).alias("doc_id")).join(blobs, "doc_id")
     return results.admissible(updates, held, "command").select("event_id")
 
 
@@ -312,37 +317,36 @@ def waiter_match(spark, d):
     return e.where("event_type <> 'view'").select("event_id", "user_id").join(reports, "event_id").select("event_id", "user_id", "value", "reported")
 
 
-def _tree(spark, d, levels: int = 6):
-    """Nodes of the tree of page addresses: host and path, without query and fragment."""
+def _tree(spark, d):
+    """Nodes of the tree of page addresses: host and path, without query and fragment, to any depth."""
     path = F.regexp_replace(F.regexp_replace("url", r"[?#].*", ""), r"^[a-z]+://", "")
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    pages = tables.read(spark, d, "pages").select(parts.alias("parts"))
-    prefix = lambda k: F.array_join(F.slice("parts", 1, k), "/")
-    rows = [pages.where(F.size("parts") >= k).select(prefix(k).alias("node"), (prefix(k - 1) if k > 1 else F.lit("")).alias("parent"), F.element_at("parts", k).alias("name"), F.lit(k).alias("depth")).distinct() for k in range(1, levels)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionAll(r)
-    return out
+    parts = tables.read(spark, d, "pages").select(F.filter(F.split(path, "/"), lambda p: p != "").alias("parts")).where(F.size("parts") > 0)
+    prefix = lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/")
+    rows = parts.select("parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
+    return rows.select(prefix(F.col("depth")).alias("node"), prefix(F.col("depth") - 1).alias("parent"), F.element_at("parts", F.col("depth")).alias("name"), "depth").distinct()
 
 
 _TREE = """p as (select list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://', ''), '/'), lambda x: x <> '') as parts from pages),
-  k as (select unnest(range(1, 6)) as depth),
-  t as (select distinct array_to_string(parts[1:depth], '/') as node, case when depth > 1 then array_to_string(parts[1:depth - 1], '/') else '' end as parent, parts[depth] as name, cast(depth as integer) as depth from p, k where len(parts) >= depth)"""
+  k as (select parts, unnest(range(1, len(parts) + 1)) as depth from p),
+  t as (select distinct array_to_string(parts[1:depth], '/') as node, case when depth > 1 then array_to_string(parts[1:depth - 1], '/') else '' end as parent, parts[depth] as name, cast(depth as integer) as depth from k)"""
 
 
-@query(f"with recursive {_TREE}, w as (select '' as node, 0 as depth union select t.node, w.depth + 1 from w join t on t.parent = w.node where w.depth < 6) select '' as root, node, cast(depth as integer) as depth from w")
+@query(f"with recursive {_TREE}, w as (select '' as node, 0 as depth union select t.node, w.depth + 1 from w join t on t.parent = w.node) select '' as root, node, cast(depth as integer) as depth from w")
 def tree_expand(spark, d):
     edges = _tree(spark, d).select("parent", F.col("node").alias("child"))
-    return resolving.expand(edges, spark.createDataFrame([("",)], "root string"), 6)
+    return resolving.expand(edges, spark.createDataFrame([("",)], "root string"))
 
 
 @query(
-    f"""with {_TREE}, l5 as (select node, parent, name, sha256(name || chr(10)) as digest from t where depth = 5),
-    {", ".join(f"l{k} as (select t.node, t.parent, t.name, sha256(t.name || chr(10) || coalesce(string_agg(c.name || '=' || c.digest, chr(10) order by c.name), '')) as digest from t left join l{k + 1} c on c.parent = t.node where t.depth = {k} group by t.node, t.parent, t.name)" for k in (4, 3, 2, 1))}
-    {" ".join(f"{'union all ' if k > 1 else ''}select node, cast({k} as integer) as depth, digest from l{k}" for k in range(1, 6))}"""
+    f"""with recursive {_TREE}, w as (
+      select node, parent, name, depth, sha256(name || chr(10)) as digest from t where depth = (select max(depth) from t)
+      union all
+      select t.node, any_value(t.parent), any_value(t.name), any_value(t.depth), sha256(any_value(t.name) || chr(10) || coalesce(string_agg(w.name || '=' || w.digest, chr(10) order by w.name), ''))
+      from t left join w on w.parent = t.node where t.depth = (select max(depth) - 1 from w) group by t.node)
+    select node, depth, digest from w"""
 )
 def merkle_root(spark, d):
-    return resolving.merkle(_tree(spark, d).withColumn("content", F.col("name")), 5).where("depth > 0")
+    return resolving.merkle(_tree(spark, d).withColumn("content", F.col("name"))).where("depth > 0")
 
 
 # Outcomes, counters, limits, probes.
@@ -437,13 +441,16 @@ def probe_parse(spark, d):
 
 @query(
     """select event_id, cast(len(['a', 'b']) as integer) as n_argv, case when event_id % 2 = 0 then '/w' end as workdir, case when event_id % 3 = 0 then 'loopback' else 'none' end as network, 'null' as stdin,
-      cast(json_extract(props, '$.k') as bigint) as cpu_milli, true as bare from events"""
+      cast(json_extract(props, '$.k') as bigint) as cpu_milli, true as bare,
+      case when event_id % 5 = 0 then 'box' || user_id end as hostname, event_id % 5 = 0 as timezone_utc, case when event_id % 5 = 0 then event_id end as source_date_epoch, event_id % 5 = 0 as strip_ld_preload, event_id % 10 = 0 as strip_path from events"""
 )
 def config_defaults(spark, d):
     i = F.col("event_id")
-    text = F.concat(F.lit('{"argv":["a","b"]'), F.when(i % 2 == 0, F.lit(',"workdir":"/w"')).otherwise(""), F.when(i % 3 == 0, F.lit(',"network":"loopback"')).otherwise(""), F.lit(',"limits":{"cpu_milli":'), F.get_json_object("props", "$.k"), F.lit("}}"))
+    given = F.concat(F.lit(',"determinism":{"hostname":"box'), "user_id", F.lit('","timezone_utc":true,"strip_ld_preload":true,"source_date_epoch":'), i, F.when(i % 10 == 0, F.lit(',"strip_path":true')).otherwise(""), F.lit("}"))
+    policy = F.when(i % 5 == 0, given).otherwise("")
+    text = F.concat(F.lit('{"argv":["a","b"]'), F.when(i % 2 == 0, F.lit(',"workdir":"/w"')).otherwise(""), F.when(i % 3 == 0, F.lit(',"network":"loopback"')).otherwise(""), policy, F.lit(',"limits":{"cpu_milli":'), F.get_json_object("props", "$.k"), F.lit("}}"))
     c = F.col("c")
-    return tables.read(spark, d, "events").select("event_id", commands.config_of(text).alias("c")).select("event_id", F.size(c["argv"]).alias("n_argv"), c["workdir"].alias("workdir"), c["network"].alias("network"), c["stdin"].alias("stdin"), c["limits"]["cpu_milli"].cast("long").alias("cpu_milli"), commands.rootfs_is_empty(c["rootfs"]).alias("bare"))
+    return tables.read(spark, d, "events").select("event_id", commands.config_of(text).alias("c")).select("event_id", F.size(c["argv"]).alias("n_argv"), c["workdir"].alias("workdir"), c["network"].alias("network"), c["stdin"].alias("stdin"), c["limits"]["cpu_milli"].cast("long").alias("cpu_milli"), commands.rootfs_is_empty(c["rootfs"]).alias("bare"), c["determinism"]["hostname"].alias("hostname"), *[c["determinism"][n].alias(n) for n in ("timezone_utc", "source_date_epoch", "strip_ld_preload", "strip_path")])
 
 
 @query(
@@ -509,17 +516,28 @@ def splice_verify(spark, d):
     return chunking.splice(chunking.split_fixed(blobs, 1000))
 
 
-@query(f"with {_D} select distinct hash as blob, hash, size_bytes, true as ok from d")
+def _chunked(chunks, least: int, most: int):
+    """Chunks spliced and held against their blobs, with whether each but the last is of a lawful size and long blobs are cut at all."""
+    n, last = F.octet_length("data"), Window.partitionBy("blob").orderBy(F.desc("idx"))
+    sizes = chunks.select("blob", n.alias("n"), (F.row_number().over(last) == 1).alias("last")).groupBy("blob")
+    sound = F.bool_and((F.col("n") <= most) & (F.col("last") | (F.col("n") >= least)))
+    return chunking.splice(chunks).join(sizes.agg(sound.alias("lawful"), (F.count("*") > 1).alias("several")), "blob").select("blob", "hash", "size_bytes", "ok", "lawful", (F.col("several") | (F.col("size_bytes") <= most)).alias("cut"))
+
+
+_CHUNKED = f"with {_D} select distinct hash as blob, hash, size_bytes, true as ok, true as lawful, true as cut from d"
+
+
+@query(_CHUNKED)
 def split_fastcdc(spark, d):
     """Content-defined chunks, spliced and held against the blobs."""
     blobs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
-    return chunking.splice(chunking.split_gear(blobs, 1024))
+    return _chunked(kept(chunking.split_gear(blobs, 1024), "chunks"), 256, 4096)
 
 
-@query(f"with {_D} select distinct hash as blob, hash, size_bytes, true as ok from d")
+@query(_CHUNKED)
 def split_repmaxcdc(spark, d):
     blobs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
-    return chunking.splice(chunking.split_longest(blobs, 256))
+    return _chunked(kept(chunking.split_longest(blobs, 256), "chunks"), 256, 511)
 
 
 # Typed reads, envelopes, order.
@@ -560,10 +578,14 @@ def stable_digests(spark, d):
     return tables.read(spark, d, "orders").select("o_orderkey", digests.digest_by("MD5", F.concat(F.lit("order|"), F.col("o_orderkey").cast("string"))).alias("digest"), digests.digest_by("SHA1", F.col("o_custkey").cast("string")).alias("other"))
 
 
-@query("select doc_id, true as deflate, true as zstd, true as brotli from documents")
+@query("select doc_id, sha256(text) as deflate, sha256(text) as zstd, sha256(text) as brotli, length(text) > 500 as shorter from documents")
 def compression_round_trip(spark, d):
+    """What comes back, by its digest, and whether a text of more than 500 characters went shorter through each codec."""
     raw = F.col("text").cast("binary")
-    return tables.read(spark, d, "documents").select("doc_id", *[(exotic.decompress_udf(n)(exotic.compress_udf(n)(raw)) == raw).alias(n.lower()) for n in ("DEFLATE", "ZSTD", "BROTLI")])
+    names = ("DEFLATE", "ZSTD", "BROTLI")
+    packed = tables.read(spark, d, "documents").select("doc_id", "text", *[exotic.compress_udf(n)(raw).alias(n) for n in names])
+    short = (F.greatest(*[F.octet_length(n) for n in names]) < F.octet_length("text")) & (F.length("text") > 500)
+    return packed.select("doc_id", *[F.sha2(exotic.decompress_udf(n)(F.col(n)), 256).alias(n.lower()) for n in names], short.alias("shorter"))
 
 
 @query()
@@ -572,11 +594,134 @@ def digest_functions_exotic(spark, d):
     return tables.read(spark, d, "documents").select("doc_id", *[exotic.digest_udf(n)(raw).alias(n.lower()) for n in ("SHA256TREE", "MURMUR3")])
 
 
+# Stores that are written and read back, order, files, identifiers.
+
+
+@query(f"with {_D}, r as (select doc_id, hash, size_bytes + doc_id % 2 as size_bytes from d), s as (select distinct hash, text from d where doc_id % 2 = 0) select r.doc_id as pos, r.hash, r.size_bytes, cast(case when s.hash is null then 5 else 0 end as integer) as code, octet_length(encode(s.text)) as n from r left join s using (hash)")
+def batch_read_by_hash(spark, d):
+    """A store keyed by hash alone: a request of a wrong size is answered."""
+    requests = _sized(tables.read(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("pos"), "hash", (F.col("size_bytes") + F.col("doc_id") % 2).alias("size_bytes"))
+    held = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents").where("doc_id % 2 = 0"), F.col("text")), "hash")
+    return store.batch_read(requests, held, "hash").select("pos", "hash", "size_bytes", "code", F.octet_length("data").cast("long").alias("n"))
+
+
+@query(f"with {_D} select doc_id as pos, hash, row_number() over (order by doc_id) as place from d where doc_id % 3 <> 1")
+def ordered_output(spark, d):
+    """Answers in request order, with the place that each has in it."""
+    rows = _sized(tables.read(spark, d, "documents").where("doc_id % 3 <> 1"), "doc_id").withColumnRenamed("doc_id", "pos")
+    return ordering.in_request_order(ordering.positions(rows, ["pos"], F.floor(F.col("pos") / 100_000)).select("pos", "hash", "place"))
+
+
+@query("select event_id as job_id, row_number() over (order by ts, event_id) as turn from events where event_type <> 'view'")
+def fifo_dequeue(spark, d):
+    """Views are assignments without a job."""
+    jobs = tables.read(spark, d, "events").select("ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_id")).alias("job_id"))
+    return dispatching.dequeued(jobs, ["ts", "event_id"], F.to_date("ts")).select("job_id", "turn")
+
+
+@query(
+    """select event_id as job_id, case when event_id % 5 = 0 then 'worker error: lost' when event_id % 7 = 0 then 'worker reported no ActionResult' end as problem,
+      event_id % 5 <> 0 and event_id % 7 <> 0 and event_type <> 'error' as remembered from events where event_type <> 'view' and event_id % 2 = 0"""
+)
+def worker_reports(spark, d):
+    """Clicks and the like wait; views are hellos, odd messages are of no kind, multiples of 5 are errors and of 7 have no result."""
+    e, i = tables.read(spark, d, "events"), F.col("event_id")
+    result = F.when(i % 7 != 0, F.struct(F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exit_code")))
+    report = F.struct(i.alias("job_id"), F.when(i % 5 == 0, "lost").otherwise("").alias("error_message"), result.alias("result"))
+    payload = F.struct(F.when(F.col("event_type") == "view", F.lit("hello")).alias("hello"), F.when((F.col("event_type") != "view") & (i % 2 == 0), report).alias("result"))
+    seen = dispatching.settled(e.select(i.alias("job_id")), dispatching.reports_of(e.select(payload.alias("payload"))))
+    good = dispatching.cacheable(seen).select("job_id", F.lit(True).alias("remembered"))
+    return seen.join(good, "job_id", "left").select("job_id", "problem", F.coalesce("remembered", F.lit(False)).alias("remembered"))
+
+
+@query(
+    """with e as (select *, user_id % 2 = 0 and event_type = 'view' and event_id % 5 <> 0 as hit from events)
+    select event_id as seq, hit as cache_hit, cast(case when not hit and event_type = 'error' then 1 else 0 end as integer) as exit_code, case when hit then 'kept' else 'echo ' || user_id || ' ' || event_type end as stdout from e"""
+)
+def execute_once(spark, d):
+    """Every event submits a command; even users' views are cached, multiples of 5 skip the look-up. The runner is an expression."""
+    e = tables.read(spark, d, "events")
+    argv = F.array(F.lit("echo"), F.col("user_id").cast("string"), "event_type")
+    jobs = e.select(F.col("event_id").alias("seq"), argv.alias("argv"), (F.col("event_id") % 5 == 0).alias("skip"))
+    cached = running.actions(e.where("user_id % 2 = 0 and event_type = 'view'").select(argv.alias("argv")).distinct())
+    cache = cached.select("action_hash", F.lit(0).alias("exit_code"), F.lit("kept").cast("binary").alias("stdout"), F.lit("").cast("binary").alias("stderr"))
+    runner = lambda rows: rows.select("action_hash", F.when(F.array_contains("argv", "error"), 1).otherwise(0).alias("exit_code"), F.array_join("argv", " ").cast("binary").alias("stdout"), F.lit("").cast("binary").alias("stderr"))
+    outcomes, _, _ = running.execute(jobs, cache, spark.createDataFrame([], schemas.BLOB), runner)
+    return outcomes.select("seq", "cache_hit", "exit_code", F.col("stdout").cast("string").alias("stdout"))
+
+
+@query(f"with {_D} select distinct hash, size_bytes from d where doc_id % 3 <> 1")
+def append_then_read(spark, d):
+    """Two batches that overlap, the second with rows of a wrong size, appended to a store of their own."""
+    path = fresh_path(spark, "store")
+    rows = store.as_blobs(tables.read(spark, d, "documents"), F.col("text"), F.col("doc_id").alias("pos"))
+    writing.append_blobs(rows.where("pos % 3 = 0"), path)
+    writing.append_blobs(rows.where("pos % 3 = 2 or pos % 6 = 0").unionByName(rows.where("pos % 3 = 1").withColumn("size_bytes", F.col("size_bytes") + 1)), path)
+    return tables.open_store(spark, path).select("hash", "size_bytes")
+
+
+@query("select sha256(cast(user_id as varchar)) as action_hash, cast(arg_max(case when event_type = 'error' then 1 else 0 end, (ts, event_id)) as integer) as exit_code from events group by user_id")
+def upsert_then_read(spark, d):
+    """Even events, then odd ones laid over, each the last of its user; failures count too."""
+    path = fresh_path(spark, "cache")
+    fields = {f.name: f.dataType for f in schemas.ACTION_RESULT.fields}
+    code = F.when(F.col("event_type") == "error", 1).otherwise(0)
+    result = F.struct(code.cast("int").alias("exit_code"), *[F.lit(None).cast(t).alias(n) for n, t in fields.items() if n != "exit_code"])
+    log = _log(spark, d).withColumn("action_hash", digests.hash_of(F.col("user_id").cast("string"))).withColumn("result", result)
+    latest = log.groupBy("action_hash").agg(F.max("seq").alias("last"))
+    writing.upsert_results(log.where("event_id % 2 = 0"), path, ["ts", "event_id"])
+    newer = log.join(latest, (log["action_hash"] == latest["action_hash"]) & (log["seq"] == latest["last"]), "left_semi").where("event_id % 2 = 1")
+    writing.upsert_results(newer, path, ["ts", "event_id"])
+    return tables.open_cache(spark, path).select("action_hash", F.col("result.exit_code").alias("exit_code"))
+
+
+@query(f"with {_D} select hash, size_bytes, sha256(text) as file_hash from d where doc_id in (select min(doc_id) from d group by hash)")
+def file_outputs(spark, d):
+    """Texts written as files, a file each distinct text of a task's output, and read back as bytes and as whole texts."""
+    path = fresh_path(spark, "files")
+    docs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
+    docs.select(F.base64("data").alias("value"), "hash").write.partitionBy("hash").text(path)
+    body = F.unbase64(F.rtrim(F.col("data").cast("string"), F.lit("\n")))
+    name = F.regexp_extract("path", "hash=([0-9a-f]+)", 1)
+    raw = tables.outputs(spark, f"{path}/*/*.txt").select(name.alias("hash"), digests.hash_of(body).alias("file_hash"), digests.size_of(body).alias("size_bytes"))
+    whole = tables.texts(spark, f"{path}/*/*.txt").select(name.alias("hash"), digests.hash_of(F.unbase64(F.rtrim("value", F.lit("\n")))).alias("again"))
+    return raw.join(whole, "hash").where("again = file_hash").select("hash", "size_bytes", "file_hash")
+
+
+@query("select 'a' as name, cast(2 as bigint) as n union all select 'b', 0 union all select 'c', 5")
+def literal_store(spark, d):
+    rows = tables.memory_store(spark, [("a", 2, b"xy"), ("b", 0, b""), ("c", 5, b"hello")])
+    return rows.select(F.col("hash").alias("name"), F.octet_length("data").cast("long").alias("n"))
+
+
+@query("select count(*) as n, count(*) as n_distinct, true as sound from events")
+def random_ids(spark, d):
+    made = tables.read(spark, d, "events").select(ids.random_id().alias("id"))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.bool_and(F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")).alias("sound"))
+
+
+@query(
+    """select event_id, case when event_id % 3 = 0 then 'Fail' when event_id % 2 = 0 then 'Fail' else 'Pass' end as slice, case when event_id % 3 = 0 then '/sys/fs/cgroup/x.slice missing — run install.sh' when event_id % 2 = 0 then 'cannot mkdir under /sys/fs/cgroup/x.slice: denied' end as slice_detail,
+      case when event_id % 5 = 0 then 'Warn' else 'Pass' end as peak, case when event_id % 5 = 0 then 'absent on kernel 5.' || user_id || '; falling back to memory.events on the per-action cgroup' end as peak_detail,
+      case when event_id % 7 = 0 then 'Fail' else 'Pass' end as setgroups, case when event_id % 7 = 0 then 'required for gid_map writes under unprivileged userns' end as setgroups_detail from events"""
+)
+def probe_rules(spark, d):
+    i = F.col("event_id")
+    rules = {
+        "slice": hostcheck.slice_rule(i % 3 != 0, F.when(i % 2 == 0, "denied"), "/sys/fs/cgroup/x.slice", "install.sh"),
+        "peak": hostcheck.memory_peak_rule(i % 5 != 0, F.concat(F.lit("5."), F.col("user_id").cast("string"))), "setgroups": hostcheck.setgroups_rule(i % 7 != 0),
+    }
+    return tables.read(spark, d, "events").select("event_id", *[c for n, r in rules.items() for c in (r["status"].alias(n), r["detail"].alias(f"{n}_detail"))])
+
+
 # Streams, held against the same SQL as their batch forms.
 
 QUERIES.update(streams.QUERIES)
 ORACLES["stream_waiter_match"] = ORACLES["waiter_match"]
 ORACLES["stream_memoize"] = ORACLES["memoize"]
+ORACLES["stream_execute"] = """with c as (select distinct user_id, event_type from events where user_id % 2 = 1 and event_type <> 'error'),
+  s as (select e.*, c.user_id is not null as hit, case when c.user_id is not null then null when event_id % 7 = 0 then 'worker error: lost' when event_id % 11 = 0 then 'worker reported no ActionResult' end as problem from events e left join c using (user_id, event_type) where c.user_id is not null or event_id % 3 <> 0)
+select 'operations/' || event_id as name, true as done, cast(case when problem is null then case when not hit and event_type = 'error' then 1 else 0 end end as integer) as exit_code, case when problem is null then hit end as cached_result, cast(case when problem is not null then 13 end as integer) as code, problem as message from s"""
 ORACLES["stream_dedup_content"] = f"with {_D} select distinct hash, size_bytes from d"
 
 # Extensions.

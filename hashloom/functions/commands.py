@@ -57,6 +57,12 @@ def _pairs(of: Column) -> Column:
     return F.coalesce(F.transform(of, lambda p: F.struct(p[0].alias("_1"), p[1].alias("_2"))), none)
 
 
+def _determinism(policy: Column) -> Column:
+    """Names stay null where they aren't given; switches are off."""
+    off = lambda name: F.coalesce(policy[name], F.lit(False)).alias(name)
+    return F.struct(policy["hostname"].alias("hostname"), off("timezone_utc"), policy["source_date_epoch"].alias("source_date_epoch"), off("strip_ld_preload"), off("strip_path"))
+
+
 def config_of(document: Column) -> Column:
     """A sandbox document with its defaults; what isn't JSON of this schema fails the query."""
     made = F.from_json(document, SANDBOX_CONFIG, {"mode": "FAILFAST"})
@@ -65,7 +71,7 @@ def config_of(document: Column) -> Column:
         made["argv"].alias("argv"), _pairs(made["env"]).alias("env"), made["workdir"].alias("workdir"),
         F.coalesce(made["stdin"], F.lit("null")).alias("stdin"), F.coalesce(made["network"], F.lit("none")).alias("network"), made["limits"].alias("limits"),
         F.struct(_pairs(root["ro_binds"]).alias("ro_binds"), _pairs(root["tmpfs"]).alias("tmpfs"), _pairs(root["symlinks"]).alias("symlinks"), root["input_root"].alias("input_root")).alias("rootfs"),
-        F.coalesce(made["determinism"]["timezone_utc"], F.lit(False)).alias("timezone_utc"), F.coalesce(made["retained_caps"], no_names).alias("retained_caps"), F.coalesce(made["extra_seccomp_allow"], no_names).alias("extra_seccomp_allow"),
+        _determinism(made["determinism"]).alias("determinism"), F.coalesce(made["retained_caps"], no_names).alias("retained_caps"), F.coalesce(made["extra_seccomp_allow"], no_names).alias("extra_seccomp_allow"),
     )
 
 

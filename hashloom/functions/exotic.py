@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-_M32, _M64 = (1 << 32) - 1, (1 << 64) - 1
-
-
 def _primes(n: int) -> list[int]:
     out: list[int] = []
     k = 2
@@ -41,62 +40,73 @@ def _tree_state() -> list[int]:
     return [_root_fraction(p, 2) for p in _primes(16)[8:]]
 
 
-def _turn(x: int, n: int) -> int:
-    return ((x >> n) | (x << (32 - n))) & _M32
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x >> np.uint32(n)) | (x << np.uint32(32 - n))
 
 
-def block_cipher(state: list[int], block: bytes) -> list[int]:
-    """The rounds of SHA-256 on one block, without the final addition of the state."""
-    w = [int.from_bytes(block[i : i + 4], "big") for i in range(0, 64, 4)]
+def block_cipher(state: list[int], blocks: np.ndarray) -> np.ndarray:
+    """The rounds of SHA-256 on each row of 64 bytes, without the final addition of the state; rows of 32 bytes."""
+    w = list(blocks.view(">u4").astype(np.uint32).T)
     for i in range(16, 64):
         x, y = w[i - 15], w[i - 2]
-        w.append((w[i - 16] + (_turn(x, 7) ^ _turn(x, 18) ^ x >> 3) + w[i - 7] + (_turn(y, 17) ^ _turn(y, 19) ^ y >> 10)) & _M32)
-    a, b, c, d, e, f, g, h = state
-    for i, k in enumerate(_rounds()):
-        t = h + (_turn(e, 6) ^ _turn(e, 11) ^ _turn(e, 25)) + (e & f ^ ~e & _M32 & g) + k + w[i]
-        u = (_turn(a, 2) ^ _turn(a, 13) ^ _turn(a, 22)) + (a & b ^ a & c ^ b & c)
-        a, b, c, d, e, f, g, h = (t + u) & _M32, a, b, c, (d + t) & _M32, e, f, g
-    return [a, b, c, d, e, f, g, h]
-
-
-def sha256tree(body: bytes) -> bytes:
-    import hashlib
-
-    if len(body) <= 1024:
-        return hashlib.sha256(body).digest()
-    left = 1 << (len(body) - 1).bit_length() - 1
-    joint = sha256tree(body[:left]) + sha256tree(body[left:])
-    return b"".join(x.to_bytes(4, "big") for x in block_cipher(_tree_state(), joint))
-
-
-def murmur3(body: bytes, seed: int = 0) -> bytes:
-    """128 bits, the variant for 64-bit machines. The multipliers are fixed values."""
-    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
-    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & _M64
-
-    def last(x: int) -> int:
-        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & _M64
-        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & _M64
-        return x ^ x >> 33
-
-    one = lambda k: turn(k * c1 & _M64, 31) * c2 & _M64
-    two = lambda k: turn(k * c2 & _M64, 33) * c1 & _M64
-    a = b = seed
-    whole = len(body) & ~15
-    for i in range(0, whole, 16):
-        a = (turn(a ^ one(int.from_bytes(body[i : i + 8], "little")), 27) + b) * 5 + 0x52DCE729 & _M64
-        b = (turn(b ^ two(int.from_bytes(body[i + 8 : i + 16], "little")), 31) + a) * 5 + 0x38495AB5 & _M64
-    rest = body[whole:]
-    if len(rest) > 8:
-        b ^= two(int.from_bytes(rest[8:], "little"))
-    if rest:
-        a ^= one(int.from_bytes(rest[:8], "little"))
-    a, b = a ^ len(body), b ^ len(body)
-    a = a + b & _M64
-    b = b + a & _M64
+        w.append(w[i - 16] + (_turned(x, 7) ^ _turned(x, 18) ^ x >> np.uint32(3)) + w[i - 7] + (_turned(y, 17) ^ _turned(y, 19) ^ y >> np.uint32(10)))
+    a, b, c, d, e, f, g, h = (np.full(len(blocks), s, dtype=np.uint32) for s in state)
+    for k, x in zip(_rounds(), w, strict=True):
+        t = h + (_turned(e, 6) ^ _turned(e, 11) ^ _turned(e, 25)) + (e & f ^ ~e & g) + np.uint32(k) + x
+        u = (_turned(a, 2) ^ _turned(a, 13) ^ _turned(a, 22)) + (a & b ^ a & c ^ b & c)
+        a, b, c, d, e, f, g, h = t + u, a, b, c, d + t, e, f, g
+    return np.stack([a, b, c, d, e, f, g, h], axis=1).astype(">u4").view(np.uint8)
+
+
+def sha256tree(bodies: list[bytes]) -> list[bytes]:
+    """Tree hashes: leaves of 1024 bytes, neighbours joined level by level, an odd last node carried up. All bodies' nodes of a level go together."""
+    level = [[hashlib.sha256(b[i : i + 1024]).digest() for i in range(0, max(len(b), 1), 1024)] for b in bodies]
+    while any(len(nodes) > 1 for nodes in level):
+        pairs = [nodes[i] + nodes[i + 1] for nodes in level for i in range(0, len(nodes) - 1, 2)]
+        joint = iter(block_cipher(_tree_state(), np.frombuffer(b"".join(pairs), dtype=np.uint8).reshape(-1, 64)))
+        level = [[next(joint).tobytes() for _ in range(len(nodes) // 2)] + ([nodes[-1]] if len(nodes) % 2 else []) for nodes in level]
+    return [nodes[0] for nodes in level]
+
+
+def murmur3(bodies: list[bytes], seed: int = 0) -> list[bytes]:
+    """128 bits, the variant for 64-bit machines, of all bodies side by side. The multipliers are fixed values."""
+    u = np.uint64
+    c1, c2 = u(0x87C37B91114253D5), u(0x4CF5AD432745937F)
+    turn = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+
+    def last(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> u(33)) * u(0xFF51AFD7ED558CCD)
+        x = (x ^ x >> u(33)) * u(0xC4CEB9FE1A85EC53)
+        return x ^ x >> u(33)
+
+    one = lambda k: turn(k * c1, 31) * c2
+    two = lambda k: turn(k * c2, 33) * c1
+    size = np.array([len(b) for b in bodies], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")  # longest first: those with a block left are the first rows
+    blocks = (size // 16)[order]
+    a, b = np.full(len(order), seed, dtype=np.uint64), np.full(len(order), seed, dtype=np.uint64)
+    words = [np.frombuffer(bodies[i], dtype="<u8", count=2 * int(n)) for i, n in zip(order, blocks, strict=True)]
+    starts = np.concatenate([[0], np.cumsum(2 * blocks)])[:-1]
+    flat = np.concatenate(words) if words else np.zeros(0, dtype=np.uint64)
+    live = np.searchsorted(-blocks, -np.arange(int(blocks[0]) if len(blocks) else 0), side="left")  # bodies with more than t blocks
+    for t, n in enumerate(live.tolist()):
+        k = starts[:n] + 2 * t
+        a[:n] = (turn(a[:n] ^ one(flat[k]), 27) + b[:n]) * u(5) + u(0x52DCE729)
+        b[:n] = (turn(b[:n] ^ two(flat[k + 1]), 31) + a[:n]) * u(5) + u(0x38495AB5)
+    rest = [bodies[i][16 * int(n) :].ljust(16, b"\0") for i, n in zip(order, blocks, strict=True)]
+    tail = np.frombuffer(b"".join(rest), dtype="<u8").reshape(-1, 2)
+    length = size[order].astype(np.uint64)
+    b = b ^ two(tail[:, 1]) ^ length  # of nothing it is nothing
+    a = a ^ one(tail[:, 0]) ^ length
+    a = a + b
+    b = b + a
     a, b = last(a), last(b)
-    a = a + b & _M64
-    return a.to_bytes(8, "big") + (b + a & _M64).to_bytes(8, "big")
+    a = a + b
+    out = np.stack([a, a + b], axis=1).astype(">u8").view(np.uint8)
+    made = [b""] * len(bodies)
+    for i, row in zip(order.tolist(), out, strict=True):
+        made[i] = row.tobytes()
+    return made
 
 
 def digest_udf(function: str):
@@ -105,7 +115,8 @@ def digest_udf(function: str):
 
     @F.pandas_udf("string")
     def digest(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else made(bytes(b)).hex())
+        there = bodies[bodies.notna()]
+        return pd.Series([d.hex() for d in made([bytes(b) for b in there])], index=there.index, dtype=object).reindex(bodies.index)
 
     return digest
 

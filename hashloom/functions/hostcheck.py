@@ -46,6 +46,26 @@ def present(flag: Column, absent: str = FAIL) -> Column:
     return F.when(flag, PASS).otherwise(absent)
 
 
+def _rule(state: Column, detail: Column) -> Column:
+    return F.struct(state.alias("status"), detail.alias("detail"))
+
+
+def slice_rule(there: Column, error: Column, path: str, remedy: str) -> Column:
+    """``struct(status, detail)``: a control-group slice must be there, and a folder could be made in it (``error``: null, or why not)."""
+    detail = F.when(~there, f"{path} missing — run {remedy}").when(error.isNotNull(), F.concat(F.lit(f"cannot mkdir under {path}: "), error))
+    return _rule(present(there & error.isNull()), detail)
+
+
+def memory_peak_rule(there: Column, release: Column) -> Column:
+    """Without the gauge a warning: peaks then come from the events of each action's own group."""
+    detail = F.concat(F.lit("absent on kernel "), F.coalesce(release, F.lit("unknown")), F.lit("; falling back to memory.events on the per-action cgroup"))
+    return _rule(present(there, WARN), F.when(~there, detail))
+
+
+def setgroups_rule(there: Column) -> Column:
+    return _rule(present(there), F.when(~there, "required for gid_map writes under unprivileged userns"))
+
+
 def label(status: Column) -> Column:
     """Five characters wide."""
     return F.when(status == PASS, " OK  ").when(status == WARN, "WARN ").otherwise("FAIL ")

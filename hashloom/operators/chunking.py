@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +30,59 @@ def split_fixed(blobs: DataFrame, size: int) -> DataFrame:
     return parts.select("blob", (F.col("start") / size).cast("int").alias("idx"), F.col("start").cast("long").alias("start"), F.expr(f"substring(data, start + 1, {size})").alias("data"))
 
 
-def gear_cuts(body: bytes, average: int) -> list[int]:
-    """Ends of the chunks by FastCDC with normalisation 2: least a quarter, most four times the average."""
+_SLICE = 1 << 20
+
+
+def gear_hashes(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
+    """The rolling hash after each byte: of the last 64 bytes, as older ones are shifted out. Windows are doubled six times."""
+    h = gear[data]
+    for width in (1, 2, 4, 8, 16, 32):
+        if width < len(h):
+            h[width:] = h[width:] + (h[:-width] << np.uint64(width))
+    return h
+
+
+def _marks(body: bytes, gear: np.ndarray, masks: list[int]) -> list[np.ndarray]:
+    """For each mask the places whose hash of the last 64 bytes has none of its bits."""
+    data, out = np.frombuffer(body, dtype=np.uint8), [[] for _ in masks]
+    for low in range(0, len(data), _SLICE):
+        lead = min(low, 64)
+        h = gear_hashes(data[low - lead : low + _SLICE], gear)[lead:]
+        for mask, found in zip(masks, out, strict=True):
+            found.append(np.flatnonzero(h & np.uint64(mask) == 0) + low)
+    return [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out]
+
+
+def gear_cuts(body: bytes, average: int, seed: int = 0) -> list[int]:
+    """Ends of the chunks by FastCDC with normalisation 2: least a quarter, most four times the average.
+
+    Hashing starts anew at each chunk's least size, so its first 63 places are hashed one by one; from
+    there on the hash is that of the last 64 bytes, wherever the chunk began. Bytes are taken in pairs: of
+    an odd number that is left the last one is no place for a cut. ``seed`` alters the gear table.
+    """
     least, most, bits = average // 4, average * 4, average.bit_length() - 1
-    strict, loose = MASKS[bits + 2], MASKS[bits - 2]
+    masks = [MASKS[bits + 2], MASKS[bits - 2]]
+    table = [g ^ seed for g in GEAR]
+    marks = _marks(body, np.array(table, dtype=np.uint64), masks)
     ends, start, n = [], 0, len(body)
     while n - start > least:
         stop, centre = min(n, start + most), min(n, start + average)
-        h, cut = 0, stop
-        for i in range(start + least, stop):
-            h = ((h << 1) + GEAR[body[i]]) & _ALL
-            if not h & (strict if i < centre else loose):
+        last = start + (stop - start) // 2 * 2
+        begin = start + least // 2 * 2
+        h, cut = 0, None
+        for i in range(begin, min(begin + 63, last)):
+            h = ((h << 1) + table[body[i]]) & _ALL
+            if not h & masks[i - start >= (centre - start) // 2 * 2]:
                 cut = i
                 break
-        ends.append(cut)
-        start = cut
+        turn = start + (centre - start) // 2 * 2
+        for which, low, high in ((0, begin + 63, min(turn, last)), (1, max(begin + 63, turn), last)):
+            if cut is None and low < high:
+                at = np.searchsorted(marks[which], low)
+                if at < len(marks[which]) and marks[which][at] < high:
+                    cut = int(marks[which][at])
+        ends.append(stop if cut is None else cut)
+        start = ends[-1]
     if start < n or not n:
         ends.append(n)
     return ends
@@ -54,10 +93,7 @@ def longest_cuts(body: bytes, least: int, horizon: int) -> list[int]:
     n = len(body)
     if n < 2 * least:
         return [n]
-    hashes, h = [], 0
-    for b in body:
-        h = ((h << 1) + GEAR[b]) & _ALL
-        hashes.append(h)
+    hashes = gear_hashes(np.frombuffer(body, dtype=np.uint8), np.array(GEAR, dtype=np.uint64))
     ends, work = [], [(0, n)]
     while work:
         start, stop = work.pop()
@@ -65,7 +101,7 @@ def longest_cuts(body: bytes, least: int, horizon: int) -> list[int]:
             ends.append(stop)
             continue
         low, high = start + least, min(start + least + horizon, stop - least)
-        cut = max(range(low, high + 1), key=lambda i: (hashes[i - 1], -i))
+        cut = low + int(hashes[low - 1 : high].argmax())  # the first of equals
         work += [(cut, stop), (start, cut)]
     return ends
 
@@ -86,11 +122,11 @@ def _split(cuts, *arguments):
     return run
 
 
-def split_gear(blobs: DataFrame, average: int = 1024) -> DataFrame:
+def split_gear(blobs: DataFrame, average: int = 1024, seed: int = 0) -> DataFrame:
     """Content-defined chunks by FastCDC; ``average`` is a power of two from 1 KiB to 1 MiB."""
     if average & (average - 1) or not 1 << 10 <= average <= 1 << 20:
         raise ValueError("the average must be a power of two from 1 KiB to 1 MiB")
-    return blobs.select("hash", "data").mapInArrow(_split(gear_cuts, average), CHUNKS)
+    return blobs.select("hash", "data").mapInArrow(_split(gear_cuts, average, seed), CHUNKS)
 
 
 def split_longest(blobs: DataFrame, least: int = 256, horizon: int | None = None) -> DataFrame:
@@ -102,8 +138,8 @@ def split_longest(blobs: DataFrame, least: int = 256, horizon: int | None = None
 
 def splice(chunks: DataFrame) -> DataFrame:
     """``blob, hash, size_bytes, ok``: the chunks of each blob joined in order, digested, and held against the blob's name."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "data"))), lambda c: c["data"])
-    whole = chunks.groupBy("blob").agg(F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("data"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "data"))), lambda c: F.hex(c["data"]))
+    whole = chunks.groupBy("blob").agg(F.unhex(F.array_join(parts, "")).alias("data"))  # joined at once: each byte is copied a fixed number of times
     d = digests.digest_of(F.col("data"))
     return whole.select("blob", d["hash"].alias("hash"), d["size_bytes"].alias("size_bytes"), (d["hash"] == F.col("blob")).alias("ok"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions import digests
+from hashloom.sources.shared import kept
 
 
 def resolve(rows: DataFrame, target: DataFrame, on: list[str] | str, required: str | None = None) -> DataFrame:
@@ -17,40 +18,45 @@ def resolve(rows: DataFrame, target: DataFrame, on: list[str] | str, required: s
     return found.withColumn(required, F.coalesce(F.col(required), F.raise_error(F.lit("blob not found")).cast(kind)))
 
 
-def expand(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """``root, node, depth`` of everything that edges ``(parent, child)`` reach from ``roots(root)`` in at most ``max_depth`` steps.
+def expand(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root, node, depth`` of everything that edges ``(parent, child)`` reach from ``roots(root)``.
 
-    A subtree that isn't there is left out, a node reached in several ways is given once for
-    each depth. One equi-join a level, the edges on their own key in each.
+    It goes on until a level is empty, or for ``max_depth`` steps; a cycle needs the latter. A subtree
+    that isn't there is left out, a node reached in several ways is given once for each depth.
+    One equi-join a level, the edges on their own key in each; levels are kept in the shared folder.
     """
-    level = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = level.join(edges.select(F.col("parent").alias("node"), F.col("child")), "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+    edges = kept(edges.select(F.col("parent").alias("node"), "child"), "edges")
+    out = level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        level = kept(level.join(edges, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct(), "level")
+        if level.isEmpty():
+            break
         out = out.unionAll(level)
     return out
 
 
-def merkle(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """``node, depth, digest`` of a tree ``nodes(node, parent, name, depth, content)``.
+def merkle(nodes: DataFrame) -> DataFrame:
+    """``node, depth, digest`` of a tree ``nodes(node, parent, name, depth, content)`` of any depth.
 
     A node's digest is that of a text with its content and, in the byte order of their names,
     the names and digests of its children. Levels are folded from the deepest up.
     """
-    done = None
-    for depth in range(max_depth, -1, -1):
-        own = nodes.where(F.col("depth") == depth)
-        if done is not None:
-            children = done.groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_list(F.struct("name", "digest"))).alias("kids"))
-            own = own.join(children, "node", "left")
-            lines = F.array_join(F.transform(F.coalesce("kids", F.array().cast("array<struct<name:string,digest:string>>")), lambda k: F.concat(k["name"], F.lit("="), k["digest"])), "\n")
-        else:
-            lines = F.lit("")
-        level = own.select("node", "parent", "name", "depth", digests.hash_of(F.concat(F.coalesce("content", F.lit("")), F.lit("\n"), lines)).alias("digest"))
-        below = level if depth == max_depth else below.unionAll(level.select("node", "depth", "digest"))
-        below = below.select("node", "depth", "digest")
-        done = level
-    return below
+    nodes = kept(nodes.select("node", "parent", "name", "depth", "content"), "nodes")
+    most = nodes.agg(F.max("depth")).first()[0]
+    levels: list[DataFrame] = []
+    for depth in range(-1 if most is None else most, -1, -1):
+        own, lines = nodes.where(F.col("depth") == depth), F.lit("")
+        if levels:
+            kids = F.array_sort(F.collect_list(F.struct("name", "digest")))
+            children = levels[-1].groupBy(F.col("parent").alias("node")).agg(F.array_join(F.transform(kids, lambda k: F.concat(k["name"], F.lit("="), k["digest"])), "\n").alias("lines"))
+            own, lines = own.join(children, "node", "left"), F.coalesce("lines", F.lit(""))
+        levels.append(kept(own.select("node", "parent", "name", "depth", digests.hash_of(F.concat(F.coalesce("content", F.lit("")), F.lit("\n"), lines)).alias("digest")), "level"))
+    out = nodes.select("node", "depth", F.lit("").alias("digest")).limit(0)
+    for level in levels:
+        out = out.unionAll(level.select("node", "depth", "digest"))
+    return out
 
 
 def canonical(*parts: Column) -> Column:

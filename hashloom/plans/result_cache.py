@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hashloom.sources import tables
-from hashloom.sources.writing import _swap
+from hashloom.sources.writing import replace
 
 
 class ResultCache:
@@ -25,9 +24,7 @@ class ResultCache:
     def get(self, operator: str, parameters: dict, inputs: list[str], make: Callable[[], DataFrame], skip_lookup: bool = False) -> tuple[DataFrame, bool]:
         """The result and whether it was there. A failed run leaves nothing behind; a skipped lookup still stores."""
         path = f"{self.root}/{self.key(operator, parameters, inputs)}"
-        if not skip_lookup and tables.exists(self.spark, path):
-            return self.spark.read.parquet(path), True
-        fresh = f"{self.root}/_run-{uuid.uuid4().hex}"
-        make().write.parquet(fresh)
-        _swap(self.spark, fresh, path)
-        return self.spark.read.parquet(path), False
+        if not skip_lookup and (version := tables.version_of(self.spark, path)):
+            return self.spark.read.parquet(f"{path}/{version}"), True
+        replace(make(), path)
+        return self.spark.read.parquet(f"{path}/{tables.version_of(self.spark, path)}"), False

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hashloom.functions import digests, status
 from hashloom.operators import resolving, results, store
 from hashloom.operators.store import EMPTY
+from hashloom.sources.shared import kept
 
 OUTCOME = "action_hash string, exit_code int, stdout binary, stderr binary"
 
@@ -59,13 +60,15 @@ def execute(commands: DataFrame, cache: DataFrame, blobs: DataFrame, runner=proc
 
     ``cache`` has ``action_hash, exit_code, stdout, stderr``; the returned one has this batch's successes too.
     Requests of one batch don't see each other's results, as requests in flight don't: each distinct missing
-    action runs once and all its requests get the outcome.
+    action runs once and all its requests get the outcome. It runs when this is called, not when a result is read:
+    what ran is written to the shared folder, and outcomes, cache and blobs are made from that. (Spark may run a
+    task again that failed or was lost with its executor.)
     """
     made = actions(commands)
     _, blobs = store.batch_update(blobs, store.to_upload(blobs_of(made), blobs).withColumn("pos", F.lit(0).cast("long")))
     seen = results.probe(made, cache, "action_hash", bypass=F.col("skip"))
     misses = seen.where(~F.col("cache_hit")).select("action_hash", "argv").dropDuplicates(["action_hash"])
-    ran = runner(misses)
+    ran = kept(runner(misses), "ran")
     fresh = seen.where(~F.col("cache_hit")).select("seq", "action_hash", "cache_hit").join(ran, "action_hash")
     held = seen.where("cache_hit").select("seq", "action_hash", "cache_hit", "exit_code", "stdout", "stderr")
     outcomes = held.unionByName(fresh)

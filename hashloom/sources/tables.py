@@ -18,8 +18,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+#: The file that names the version which counts, in a table that is replaced as a whole.
+POINTER = "_CURRENT"
+
+
+def version_of(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version of the table at ``path``; None of a plain table or of none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return stream.readAllBytes().decode()
+    finally:
+        stream.close()
+
+
 def open_store(spark: SparkSession, path: str, schema: T.StructType = schemas.BLOB) -> DataFrame:
-    """A store's table, made empty where there is none."""
+    """A store's table, made empty where there is none; of one that is replaced as a whole, the current version."""
+    if version := version_of(spark, path):
+        return spark.read.schema(schema).parquet(f"{path}/{version}")
     if not exists(spark, path):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
     return spark.read.schema(schema).parquet(path)

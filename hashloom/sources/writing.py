@@ -1,29 +1,39 @@
-"""Sinks: stores and caches replaced as a whole, so that a reader sees a batch or none of it."""
+"""Sinks: blobs appended, caches replaced as a whole, so that a reader sees a batch or none of it."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from hashloom.operators import results, store
 from hashloom.sources import tables
 
 
-def _swap(spark: SparkSession, fresh: str, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"could not put {fresh} in the place of {path}")
-
-
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then take its place. ``df`` may read from ``path``."""
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    _swap(df.sparkSession, fresh, path)
+    """Lay ``df``, which may read from ``path``, in the place of the table there.
+
+    The rows go to a version folder of their own; then a pointer to it takes the old pointer's place in one
+    rename. A failure before that leaves the old version, and a reader sees one or the other.
+    """
+    spark = df.sparkSession
+    version = f"version={uuid.uuid4().hex}"
+    before = tables.version_of(spark, path)
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{tables.POINTER}.{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{tables.POINTER}")
+    files = pointer.getFileSystem(conf)
+    out = files.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(fresh, pointer, over)
+    if before:  # versions before the last stay for readers that have begun
+        for old in files.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+            name = old.getPath().getName()
+            if name.startswith("version=") and name not in (version, before):
+                files.delete(old.getPath(), True)
 
 
 def append_blobs(rows: DataFrame, path: str, key: str = "digest") -> DataFrame:

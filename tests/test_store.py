@@ -160,7 +160,7 @@ def test_chunk_sizes():
 
 def test_merkle_changes_with_any_leaf(spark):
     rows = [("r", "", "r", 0, "x"), ("r/a", "r", "a", 1, "1"), ("r/b", "r", "b", 1, "2"), ("r/a/c", "r/a", "c", 2, "3")]
-    root = lambda rows: resolving.merkle(spark.createDataFrame(rows, "node string, parent string, name string, depth int, content string"), 2).where("node = 'r'").first().digest
+    root = lambda rows: resolving.merkle(spark.createDataFrame(rows, "node string, parent string, name string, depth int, content string")).where("node = 'r'").first().digest
     assert root(rows) == root(rows[::-1])
     assert root(rows) != root([*rows[:3], ("r/a/c", "r/a", "c", 2, "4")])
 
@@ -169,3 +169,115 @@ def test_stream_first_of(spark, tmp_path):
     blobs(spark, b"a", b"b", b"a").select("hash", "size_bytes").write.parquet(f"{tmp_path}/t.parquet")
     stream = twins.source(spark, f"file://{tmp_path}", "t", "hash string, size_bytes long")
     assert twins.drained(twins.first_of(stream, "hash")).count() == 2
+
+
+def test_a_command_runs_once(spark, tmp_path):
+    from hashloom.plans import running
+
+    log = tmp_path / "runs"
+    rows = spark.createDataFrame([(0, ["/bin/sh", "-c", f"echo x >> {log}; date +%s%N"], False), (1, ["/bin/sh", "-c", f"echo x >> {log}; date +%s%N"], False)], "seq long, argv array<string>, skip boolean")
+    outcomes, cache, held = running.execute(rows, spark.createDataFrame([], running.OUTCOME), spark.createDataFrame([], "hash string, size_bytes long, data binary"))
+    said = {bytes(r.stdout) for r in outcomes.collect()}
+    assert len(said) == 1 and said == {bytes(r.stdout) for r in cache.collect()}
+    assert dig(said.pop())[0] in {r.hash for r in held.collect()}
+    assert log.read_text() == "x\n"
+
+
+def plain_gear(body, average, seed=0):
+    """Byte by byte, the hash from each chunk's least size on."""
+    masks = [chunking.MASKS[average.bit_length() + 1], chunking.MASKS[average.bit_length() - 3]]
+    ends, start = [], 0
+    while len(body) - start > average // 4:
+        stop = min(len(body) - start, average * 4)
+        h, cut = 0, stop
+        for i in range(average // 4 // 2 * 2, stop // 2 * 2):
+            h = ((h << 1) + (chunking.GEAR[body[start + i]] ^ seed)) % (1 << 64)
+            if not h & masks[i >= min(average, stop) // 2 * 2]:
+                cut = i
+                break
+        start += cut
+        ends.append(start)
+    return ends + [len(body)] * (start < len(body) or not body)
+
+
+def test_gear_cuts_equal_byte_by_byte(monkeypatch):
+    import random
+
+    r = random.Random(7)
+    monkeypatch.setattr(chunking, "_SLICE", 1500)  # slices join without a seam
+    for n in (0, 1, 255, 256, 257, 319, 320, 321, 1023, 4097, 20_001, 60_000):
+        body = bytes(r.randrange(256) for _ in range(n))
+        for average, seed in ((1024, 0), (256, 0), (1024, 666)):
+            assert chunking.gear_cuts(body, average, seed) == plain_gear(body, average, seed)
+    assert chunking.gear_cuts(bytes(10_240), 256) == list(range(1024, 10_241, 1024))  # as published: zeros are cut at the most
+
+
+def test_longest_cuts_equal_byte_by_byte():
+    import random
+
+    r = random.Random(9)
+    for n in (100, 127, 128, 500, 5000):
+        body = bytes(r.randrange(4) for _ in range(n))
+        h, hashes = 0, []
+        for b in body:
+            h = ((h << 1) + chunking.GEAR[b]) % (1 << 64)
+            hashes.append(h)
+
+        def parts(start, stop):
+            if stop - start < 128:
+                return [stop]
+            cut = max(range(start + 64, min(start + 64 + 512, stop - 64) + 1), key=lambda i: (hashes[i - 1], -i))
+            return parts(start, cut) + parts(cut, stop)
+
+        assert chunking.longest_cuts(body, 64, 512) == parts(0, n)
+
+
+def test_tree_of_any_depth(spark):
+    rows = [("/".join("n" * k), "/".join("n" * (k - 1)), "n", k, "n") for k in range(1, 13)]
+    nodes = spark.createDataFrame(rows, "node string, parent string, name string, depth int, content string")
+    edges = nodes.selectExpr("parent", "node as child")
+    assert resolving.expand(edges, spark.createDataFrame([("",)], "root string")).count() == 13
+    assert resolving.merkle(nodes).count() == 12
+    assert resolving.merkle(nodes.where("false")).count() == 0
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
+    assert resolving.expand(loop, spark.createDataFrame([("a",)], "root string"), 4).count() == 5
+
+
+def test_replaced_table_has_one_version_that_counts(spark, tmp_path):
+    from hashloom.sources import tables, writing
+
+    path = f"file://{tmp_path}/t"
+    writing.replace(spark.range(3), path)
+    early = tables.open_store(spark, path, "id long")
+    writing.replace(tables.open_store(spark, path, "id long").union(spark.range(3, 5)), path)
+    assert tables.open_store(spark, path, "id long").count() == 5 and early.count() == 3
+    with pytest.raises(Exception, match="boom"):
+        writing.replace(spark.range(1).selectExpr("raise_error('boom') as id"), path)
+    assert tables.open_store(spark, path, "id long").count() == 5
+
+
+def test_stream_replay_over_micro_batches(spark, tmp_path):
+    """Files in an order that isn't that of time: a batch is replayed where it comes, in its own order."""
+    import random
+
+    from hashloom.operators import results
+
+    r = random.Random(11)
+    rows = [(i % 4 if i % 3 else 0, f"2024-01-01 00:{i % 60:02}:{i % 7:02}", i, int(r.random() < 0.4), r.random() < 0.2) for i in range(400)]
+    r.shuffle(rows)
+    shape = "user_id long, ts string, event_id long, exit_code int, skip boolean"
+    import os
+    import time
+
+    for n in range(8):
+        spark.createDataFrame(rows[50 * n : 50 * n + 50], shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log.parquet")
+        for name in os.listdir(f"{tmp_path}/log.parquet"):
+            at = f"{tmp_path}/log.parquet/{name}"
+            if name.endswith(".parquet") and not os.path.exists(f"{tmp_path}/{name}.seen"):
+                open(f"{tmp_path}/{name}.seen", "w").close()
+                os.utime(at, (time.time() - 1000 + 10 * n,) * 2)
+    stream = twins.source(spark, f"file://{tmp_path}", "log", shape, max_files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {x.event_id: (x.hit, x.source_id, x.replayed_exit) for x in twins.replay(stream).collect()}
+    whole = spark.createDataFrame([(i // 50, *x) for i, x in enumerate(rows)], f"batch int, {shape}").withColumn("seq", F.struct("batch", "ts", "event_id"))
+    want = results.replay(whole, "user_id", "seq", "batch")
+    assert got == {x.event_id: (x.hit, x.source_seq.event_id, x.replayed_exit) for x in want.collect()}
