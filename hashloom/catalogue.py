@@ -18,7 +18,7 @@ from hashloom.functions import commands, counters, digests, exotic, hostcheck, i
 from hashloom.operators import chunking, dispatching, ordering, resolving, results, store
 from hashloom.plans import running
 from hashloom.sources import tables, writing
-from hashloom.sources.shared import fresh_path, kept
+from hashloom.sources.shared import fresh_path
 from hashloom.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -518,10 +518,10 @@ def splice_verify(spark, d):
 
 def _chunked(chunks, least: int, most: int):
     """Chunks spliced and held against their blobs, with whether each but the last is of a lawful size and long blobs are cut at all."""
-    n, last = F.octet_length("data"), Window.partitionBy("blob").orderBy(F.desc("idx"))
-    sizes = chunks.select("blob", n.alias("n"), (F.row_number().over(last) == 1).alias("last")).groupBy("blob")
-    sound = F.bool_and((F.col("n") <= most) & (F.col("last") | (F.col("n") >= least)))
-    return chunking.splice(chunks).join(sizes.agg(sound.alias("lawful"), (F.count("*") > 1).alias("several")), "blob").select("blob", "hash", "size_bytes", "ok", "lawful", (F.col("several") | (F.col("size_bytes") <= most)).alias("cut"))
+    n = lambda c: F.octet_length(c["data"])
+    lawful = F.forall("chunks", lambda c: (n(c) <= most) & ((n(c) >= least) | (c["idx"] == F.size("chunks") - 1)))
+    spliced = chunking.splice(chunks, lawful.alias("lawful"), F.size("chunks").alias("n"))
+    return spliced.select("blob", "hash", "size_bytes", "ok", "lawful", ((F.col("n") > 1) | (F.col("size_bytes") <= most)).alias("cut"))
 
 
 _CHUNKED = f"with {_D} select distinct hash as blob, hash, size_bytes, true as ok, true as lawful, true as cut from d"
@@ -531,13 +531,13 @@ _CHUNKED = f"with {_D} select distinct hash as blob, hash, size_bytes, true as o
 def split_fastcdc(spark, d):
     """Content-defined chunks, spliced and held against the blobs."""
     blobs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
-    return _chunked(kept(chunking.split_gear(blobs, 1024), "chunks"), 256, 4096)
+    return _chunked(chunking.split_gear(blobs, 1024), 256, 4096)
 
 
 @query(_CHUNKED)
 def split_repmaxcdc(spark, d):
     blobs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
-    return _chunked(kept(chunking.split_longest(blobs, 256), "chunks"), 256, 511)
+    return _chunked(chunking.split_longest(blobs, 256), 256, 511)
 
 
 # Typed reads, envelopes, order.
@@ -675,17 +675,16 @@ def upsert_then_read(spark, d):
     return tables.open_cache(spark, path).select("action_hash", F.col("result.exit_code").alias("exit_code"))
 
 
-@query(f"with {_D} select hash, size_bytes, sha256(text) as file_hash from d where doc_id in (select min(doc_id) from d group by hash)")
+@query("select item_id, cast(octet_length(encode(text)) as bigint) as size_bytes, sha256(text) as file_hash from benchmark")
 def file_outputs(spark, d):
-    """Texts written as files, a file each distinct text of a task's output, and read back as bytes and as whole texts."""
+    """Items written as files, one each, and read back as bytes and as whole texts."""
     path = fresh_path(spark, "files")
-    docs = store.distinct_blobs(store.as_blobs(tables.read(spark, d, "documents"), F.col("text")))
-    docs.select(F.base64("data").alias("value"), "hash").write.partitionBy("hash").text(path)
-    body = F.unbase64(F.rtrim(F.col("data").cast("string"), F.lit("\n")))
-    name = F.regexp_extract("path", "hash=([0-9a-f]+)", 1)
-    raw = tables.outputs(spark, f"{path}/*/*.txt").select(name.alias("hash"), digests.hash_of(body).alias("file_hash"), digests.size_of(body).alias("size_bytes"))
-    whole = tables.texts(spark, f"{path}/*/*.txt").select(name.alias("hash"), digests.hash_of(F.unbase64(F.rtrim("value", F.lit("\n")))).alias("again"))
-    return raw.join(whole, "hash").where("again = file_hash").select("hash", "size_bytes", "file_hash")
+    tables.read(spark, d, "benchmark").select(F.base64(F.col("text").cast("binary")).alias("value"), "item_id").repartition("item_id").write.partitionBy("item_id").text(path)
+    body = lambda c: F.unbase64(F.rtrim(c.cast("string"), F.lit("\n")))
+    name = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+    raw = tables.outputs(spark, f"{path}/*/*.txt").select(name.alias("item_id"), digests.size_of(body(F.col("data"))).alias("size_bytes"), digests.hash_of(body(F.col("data"))).alias("file_hash"))
+    whole = tables.texts(spark, f"{path}/*/*.txt").select(name.alias("item_id"), digests.hash_of(body(F.col("value"))).alias("again"))
+    return raw.join(whole, "item_id").where("again = file_hash").drop("again")
 
 
 @query("select 'a' as name, cast(2 as bigint) as n union all select 'b', 0 union all select 'c', 5")

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions import digests
@@ -136,12 +136,15 @@ def split_longest(blobs: DataFrame, least: int = 256, horizon: int | None = None
     return blobs.select("hash", "data").mapInArrow(_split(longest_cuts, least, 8 * least if horizon is None else horizon), CHUNKS)
 
 
-def splice(chunks: DataFrame) -> DataFrame:
-    """``blob, hash, size_bytes, ok``: the chunks of each blob joined in order, digested, and held against the blob's name."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "data"))), lambda c: F.hex(c["data"]))
-    whole = chunks.groupBy("blob").agg(F.unhex(F.array_join(parts, "")).alias("data"))  # joined at once: each byte is copied a fixed number of times
+def splice(chunks: DataFrame, *more: Column) -> DataFrame:
+    """``blob, hash, size_bytes, ok``: the chunks of each blob joined in order, digested, and held against the blob's name.
+
+    ``more``: columns from ``chunks``, an array of ``(idx, data)`` in order.
+    """
+    whole = chunks.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("idx", "data"))).alias("chunks"))
+    body = F.array_join(F.transform("chunks", lambda c: c["data"].cast("string")), "").cast("binary")  # joined at once: each byte is copied a fixed number of times, and none looked at
     d = digests.digest_of(F.col("data"))
-    return whole.select("blob", d["hash"].alias("hash"), d["size_bytes"].alias("size_bytes"), (d["hash"] == F.col("blob")).alias("ok"))
+    return whole.select("blob", body.alias("data"), *more).select("blob", d["hash"].alias("hash"), d["size_bytes"].alias("size_bytes"), (d["hash"] == F.col("blob")).alias("ok"), *whole.select(*more).columns)
 
 
 def ranged(blobs: DataFrame, offset: int, length: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hashloom.functions import digests
@@ -30,8 +30,10 @@ def expand(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        level = kept(level.join(edges, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct(), "level")
-        if level.isEmpty():
+        seen = Observation()
+        level = level.join(edges, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        level = kept(level.observe(seen, F.count("*").alias("n")), "level")
+        if not seen.get["n"]:
             break
         out = out.unionAll(level)
     return out
