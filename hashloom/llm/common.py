@@ -78,6 +78,16 @@ def settle(spark: SparkSession) -> None:
             spark.conf.set(key, own)
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, whatever its case."""
+    held, made, k = {c.lower() for c in df.columns}, [], 0
+    while len(made) < n:
+        if f"__{k}" not in held:
+            made.append(f"__{k}")
+        k += 1
+    return made
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,21 +1,22 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-1. *Signatures.* A text's shingles are its runs of ``SHINGLE`` words, hashed; each
-   is the start of a Poisson process whose rate is the shingle's weight. Arrivals
-   fall into ``BANDS * ROWS`` registers, which keep the earliest shingle; a shingle
-   stops when its next arrival is later than every register's. Two texts agree in a
-   register with the probability Jaccard of their weighted shingles; with equal
-   weights, as here, that is the Jaccard similarity of the sets.
-2. *Nodes.* Texts with the same shingles are one node, whatever their number.
+1. *Signatures.* A text's shingles are its runs of ``SHINGLE`` words, hashed. Each has a
+   weight, one and the binary logarithm of its number in the text, and is the start of a
+   Poisson process of that rate. Arrivals fall into ``BANDS * ROWS`` registers, which keep
+   the earliest shingle; a shingle stops when its next arrival is later than every
+   register's. Two texts agree in a register with the probability Jaccard of their
+   weighted shingles (of texts that repeat none, the Jaccard similarity of the sets).
+2. *Nodes.* Texts with the same weighted shingles are one node, whatever their number.
 3. *Banding.* Nodes that agree in all registers of a band share a bucket. Each is
    compared with the bucket's first node: as many pairs as rows.
-4. *Verification.* Pairs are compared by their shingle sets; those at
-   ``THRESHOLD`` or above link, and links make components.
-5. *The rest.* Nodes of one bucket that are still in different components are
-   compared all with all where they lie, first by exact bounds, then by their sets,
-   each pair in the first bucket it shares; only links leave a task. Large buckets
-   go in square blocks over many tasks. So no pair that shares a bucket can lose
-   its link; a pair at the threshold shares none with probability 1.5e-5.
+4. *Verification.* Pairs are compared by the probability Jaccard of their 64-bit shingles
+   and weights; those at ``THRESHOLD`` or above link, and links make components.
+5. *The rest.* Nodes of one bucket that are still in different components are compared
+   where they lie, first by an exact bound, then by their shingles, each pair in the first
+   bucket it shares; only links leave a task. A bucket over ``BLOCK`` nodes goes in blocks:
+   those outside its largest component among themselves and with that component, whose
+   nodes are not compared with each other. So no pair that shares a bucket can lose its
+   link; a pair at the threshold shares none with probability 1.5e-5.
 """
 
 from __future__ import annotations
@@ -26,16 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import components, free_shuffles, settle, written
+from hashloom.llm.common import components, free_shuffles, fresh_names, settle, written
 from hashloom.llm.tokenizing import Memo, text_slices, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
-#: Parts that the hashes of a set are counted by, for a bound of what two sets have in common.
+#: Parts that the weights of a set are summed by, for a bound of what two sets have in common.
 PARTS = 256
-BLOCK = 2048
+BLOCK = 1024
 #: Rows of mixed buckets for each group of the last comparison.
 ROWS_A_TASK = 2000
 WORDS = 300_000
@@ -72,12 +73,17 @@ class Shingler:
         return out
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS, weighted: bool = False) -> np.ndarray:
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """Repeats count by their logarithm, so a line that fills a page doesn't outweigh the rest of it."""
+    return 1 + np.log2(counts)
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS, weighted: bool = True) -> np.ndarray:
     """ProbMinHash signatures, a row for each set: the shingle that arrived first in each register."""
     sizes = np.array([len(s) for s, _ in sets])
     seed = np.concatenate([s for s, _ in sets])
     doc = np.repeat(np.arange(len(sets)), sizes)
-    rate = np.concatenate([c for _, c in sets]).astype(float) if weighted else np.ones(len(seed))
+    rate = weights_of(np.concatenate([c for _, c in sets])) if weighted else np.ones(len(seed))
     first = np.full(len(sets) * registers, np.inf)
     who = np.zeros(len(first), dtype=np.uint64)
     clock, turn = np.zeros(len(seed)), 0
@@ -106,9 +112,24 @@ def bands_of(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """A 64-bit name for a shingle set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+def coded(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A weighted set: ascending hashes, their counts if any is above 1, and a byte that tells."""
+    if len(counts) and counts.max() > 1:
+        return hashes.astype("<u8").tobytes() + counts.astype("<u4").tobytes() + b"\1"
+    return hashes.astype("<u8").tobytes() + b"\0"
+
+
+def uncoded(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes and weights; no weights where all are 1."""
+    if blob[-1]:
+        n = len(blob) // 12
+        return np.frombuffer(blob, dtype="<u8", count=n), weights_of(np.frombuffer(blob, dtype="<u4", count=n, offset=8 * n))
+    return np.frombuffer(blob, dtype="<u8", count=len(blob) // 8), None
+
+
+def node_of(blob: bytes) -> int:
+    """A 64-bit name for a weighted set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(blob)).view(np.int64))
 
 
 def _signed(batches):
@@ -118,7 +139,7 @@ def _signed(batches):
         for low, high in text_slices(texts, 2_000_000):
             sets = shingler.sets(texts[low:high])
             signature = signatures(sets)
-            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([node_of(s) for s, _ in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64()))], ["doc_id", "body", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([node_of(coded(*s)) for s in sets], pa.int64()), pa.array(list(bands_of(signature)), pa.list_(pa.int64()))], ["doc_id", "body", "node", "bands"])
     del shingler
     tidy()
 
@@ -128,38 +149,55 @@ def _sets_of(batches):
     for batch in batches:
         nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for low, high in text_slices(texts):
-            sets = [s for s, _ in shingler.sets(texts[low:high])]
-            ok = [(n, np.unique(s.astype(np.uint32)).tobytes()) for n, s in zip(nodes[low:high], sets, strict=True) if node_of(s) == n]
+            sets = [coded(*s) for s in shingler.sets(texts[low:high])]
+            ok = [(n, s) for n, s in zip(nodes[low:high], sets, strict=True) if node_of(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in ok], pa.int64()), pa.array([s for _, s in ok], pa.binary())], ["node", "set"])
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+def likeness(a: bytes, b: bytes) -> float:
+    """Probability Jaccard of two weighted sets; 0 where they are too unlike in size to reach the threshold."""
+    (x, v), (y, w) = uncoded(a), uncoded(b)
+    if v is None and w is None:
+        if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+            return 0.0
+        both = np.sort(np.concatenate([x, y]))
+        common = int((both[1:] == both[:-1]).sum())
+        return common / (len(both) - common)
+    v, w = np.ones(len(x)) if v is None else v, np.ones(len(y)) if w is None else w
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i):
         return 0.0
-    both = np.sort(np.concatenate([x, y]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(both) - common)
-
-
-def parted(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of sets, and how many of each one's hashes lie in each part."""
-    sizes = np.array([len(s) // 4 for s in sets], dtype=np.int64)
-    parts = np.frombuffer(b"".join(sets), dtype=np.uint32) % np.uint32(PARTS)
-    counts = np.bincount(np.repeat(np.arange(len(sets)), sizes) * PARTS + parts, minlength=len(sets) * PARTS)
-    return sizes, counts.reshape(len(sets), PARTS).astype(np.int32)
-
-
-def may_link(sizes: np.ndarray, counts: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """Those of ``j`` that can be similar enough to ``i``: in no part can sets share more than the smaller count."""
-    j = j[np.minimum(sizes[j], sizes[i]) >= THRESHOLD * np.maximum(sizes[j], sizes[i])]
-    common = np.minimum(counts[j], counts[i]).sum(axis=1)
-    return j[common >= THRESHOLD * (sizes[j] + sizes[i] - common) - 1e-6]
+    ratio = w[j] / v[i]  # the sum over k of max(v_k / v_i, w_k / w_i): those of a greater ratio count by w, others by v
+    order = np.argsort(ratio, kind="stable")
+    i, j, ratio = i[order], j[order], ratio[order]
+    last = np.searchsorted(ratio, ratio, side="right")
+    own, other = np.append(0, np.cumsum(v[i])), np.append(0, np.cumsum(w[j]))
+    alone_x, alone_y = v.sum() - own[-1], w.sum() - other[-1]
+    return float((1 / ((own[last] + alone_x) / v[i] + (other[-1] - other[last] + alone_y) / w[j])).sum())
+
+
+def parted(sets: list[bytes]) -> np.ndarray:
+    """How much of each set's weight lies in each part."""
+    pairs = [uncoded(s) for s in sets]
+    sizes = [len(h) for h, _ in pairs]
+    part = (np.concatenate([h for h, _ in pairs]) % np.uint64(PARTS)).astype(np.int64) if pairs else np.zeros(0, dtype=np.int64)
+    weight = np.concatenate([np.ones(len(h)) if w is None else w for h, w in pairs]) if pairs else np.zeros(0)
+    held = np.bincount(np.repeat(np.arange(len(sets)), sizes) * PARTS + part, weights=weight, minlength=len(sets) * PARTS).reshape(len(sets), PARTS)
+    return held / held.sum(axis=1, keepdims=True)
+
+
+def may_link(shares: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Those of ``j`` that can be similar enough to ``i``.
+
+    A term of the probability Jaccard is at most the lesser of the two shares that a shingle has
+    of its set's weight, and the sum of these at most that of the lesser shares of the parts.
+    """
+    return j[np.minimum(shares[j], shares[i]).sum(axis=1) >= THRESHOLD - 1e-9]
 
 
 def _verified(batches):
     for batch in batches:
-        ok = [jaccard(x, y) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        ok = [likeness(x, y) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -186,24 +224,44 @@ def _linked(rows: pa.Table) -> pa.Table:
     cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), len(node)]
     found = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        sizes, counts = parted(sets[a:b])
+        shares = parted(sets[a:b])
         left, right = own[a:b] == marks[1, a], own[a:b] == marks[2, a]
         for i in np.flatnonzero(left):
             mine = label[group[a + i]]
             j = np.flatnonzero(right & (label[group[a:b]] != mine) & ((node[a:b] > node[a + i]) | (marks[1, a] != marks[2, a])))
-            j = may_link(sizes, counts, i, j) if len(j) else j
+            j = may_link(shares, i, j) if len(j) else j
             if not len(j):
                 continue
             same = bands[a + j] == bands[a + i]
             j = j[bands[a + i][same.argmax(axis=1)] == marks[0, a]]
             for x in j.tolist():
                 other = label[group[a + x]]
-                if other != mine and jaccard(sets[a + i], sets[a + x]) >= THRESHOLD:
+                if other != mine and likeness(sets[a + i], sets[a + x]) >= THRESHOLD:
                     found.append((int(node[a + i]), int(node[a + x])))
                     label[label == max(other, mine)] = mine = min(other, mine)
     return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
+def unsettled(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows ``key, low, high, own, node, component, whole`` of the comparisons that buckets ``placed(key, node, component)`` still need.
+
+    A bucket of one component needs none, nor does one of two nodes, which were compared. In a bucket of at most ``block``
+    nodes all meet. Of a larger one, each node outside the largest component goes once to every block of the others; a node
+    of the largest only to every block of these, as nodes of one component aren't compared: with ``m`` strays
+    among ``n`` nodes there are about ``2 m n / block`` rows, and ``n`` where the strays fit in a block.
+    """
+    groups = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    large = groups.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1 and n > 2")
+    stray = F.when(F.col("n") <= block, 1).otherwise(F.ceil((F.col("n") - F.col("top.m")) / block))
+    large = written(large.select("key", F.col("top.component").alias("top"), (F.col("n") <= block).alias("whole"), stray.cast("int").alias("strays"), F.when(F.col("n") <= block, 0).otherwise(F.ceil(F.col("top.m") / block)).cast("int").alias("tops")), "mixed")
+    rows = placed.join(large, "key")
+    at_top = ~F.col("whole") & (F.col("component") == F.col("top"))
+    own = F.when(at_top, F.col("strays") + F.pmod(F.xxhash64("node"), F.greatest("tops", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("strays"))).cast("int")
+    upto = F.when(at_top, F.col("strays")).otherwise(F.col("strays") + F.col("tops"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
+    return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "whole")
+
+
 def body_of() -> Column:
     """A hash of the text as it stands; with the id, the name of a row."""
     return F.xxhash64(F.col("text").cast("string"))
@@ -235,14 +293,11 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     links = written(verify(stars, sets), "stars")
     first = written(components(links), "first")
 
-    placed = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x <> y and n > 2")
-    mixed = written(mixed.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    tasks = max(64, (mixed.agg(F.sum("n")).first()[0] or 0) // ROWS_A_TASK)
-    rest = placed.select("key", "node", "component").join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "bands"), "node").join(sets, "node")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rest = rest.select("key", low.alias("low"), high.alias("high"), "own", "node", "component", "bands", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", low, high)).alias("task"))
+    placed = written(shared.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    rest = unsettled(placed)
+    tasks = max(64, rest.count() // ROWS_A_TASK)
+    task = F.when(F.col("whole"), F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "low", "high"))
+    rest = rest.withColumn("task", task).join(nodes.select("node", "bands"), "node").join(sets, "node")
     more = written(rest.groupBy("task").applyInArrow(_linked, "a long, b long"), "more")
     final = components(links.unionAll(more)) if not more.isEmpty() else first
     placed = signed.select("doc_id", "body", "node").join(final, "node", "left")
@@ -268,10 +323,11 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Ids may be null or repeat: classes are told apart by their texts.
     """
-    kept = placed_rows(docs).groupBy("component").agg(least_row().alias("at")).select(F.col("at.doc_id").alias("__id"), F.col("at.body").alias("__at"))
-    mine = docs.withColumn("__body", body_of())
-    mine = mine.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__at")), "left_semi")
-    return mine.dropDuplicates(["doc_id", "__body"]).drop("__body")
+    name, at, body = fresh_names(docs, 3)
+    kept = placed_rows(docs).groupBy("component").agg(least_row().alias("at")).select(F.col("at.doc_id").alias(name), F.col("at.body").alias(at))
+    mine = docs.withColumn(body, body_of())
+    mine = mine.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.col(body) == F.col(at)), "left_semi")
+    return mine.dropDuplicates(["doc_id", body]).drop(body)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
