@@ -4,9 +4,11 @@
    as ``(doc_id, key, sha, n)``; ``key`` is the first 64 bits of the digest.
 2. *Directory.* It starts with one bucket and doubles, splitting every overfull
    bucket by one more bit of the key, until each bucket holds at most
-   ``bucket_bytes`` of distinct text or ``MAX_DEPTH`` bits are used. It is worked
-   out from a histogram of at most ``2**MAX_DEPTH`` counts, so what reaches the
-   driver and the tasks has a fixed bound.
+   ``bucket_bytes`` of distinct text. It is worked out from the bytes of at most
+   ``2**SLOT_BITS`` key prefixes, so what reaches the driver and the tasks has a fixed
+   bound; a slot of that depth that is still overfull parts by as many more bits
+   as its bytes call for, without slots of their own (keys are digests, so its
+   parts are near equal). A bucket is named by the bits of its keys.
 3. *Owners.* Scan tasks collapse equal texts among what they read (a text that
    a third of all rows hold leaves each task once), then send the texts to the
    owner of their bucket. The owner chains texts with equal keys, compares
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import settle, written
+from hashloom.llm.common import fresh_names, settle, written
 
-MAX_DEPTH = 18
-BUCKET_BYTES = 16 << 20
+SLOT_BITS = 18
+BUCKET_BYTES = 4 << 20
 COLLAPSE_BYTES = 32 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
@@ -53,34 +55,29 @@ def _entries(batches):
 
 
 class Directory:
-    """Bucket of every key prefix. ``slots[p]`` is the bucket of the ``depth``-bit prefix ``p``."""
+    """Depth of the bucket of every key prefix: ``depths[p]`` bits name the bucket of the ``depth``-bit prefix ``p``."""
 
-    def __init__(self, histogram: dict[int, int], bucket_bytes: int, max_depth: int = MAX_DEPTH):
-        finest = np.zeros(1 << max_depth, dtype=np.float64)
+    def __init__(self, histogram: dict[int, int], bucket_bytes: int, slot_bits: int = SLOT_BITS):
+        finest = np.zeros(1 << slot_bits, dtype=np.float64)
         for prefix, size in histogram.items():
             finest[prefix] += size
         self.depth = 0
-        sizes = finest.sum(keepdims=True)
-        slots, local, made = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), 1
-        while self.depth < max_depth and (sizes[slots] > bucket_bytes).any():
-            # Double: every slot becomes two; an overfull bucket parts with those whose new bit is set.
+        depths, sizes = np.zeros(1, dtype=np.int64), finest.sum(keepdims=True)  # of each slot: its bucket's bits and bytes
+        while self.depth < slot_bits and (sizes > bucket_bytes).any():
+            # Double: every slot becomes two; an overfull bucket parts by the new bit.
             self.depth += 1
-            slots, local = np.repeat(slots, 2), np.repeat(local, 2)
+            depths, sizes = np.repeat(depths, 2), np.repeat(sizes, 2)
+            full = sizes > bucket_bytes
             by_slot = finest.reshape(1 << self.depth, -1).sum(axis=1)
-            full = np.flatnonzero(sizes > bucket_bytes)
-            grown = np.concatenate([sizes, np.zeros(len(full))])
-            fresh = np.full(made, -1)
-            fresh[full] = np.arange(made, made + len(full))
-            parting = fresh[slots] >= 0
-            local[parting] = self.depth
-            parting[::2] = False
-            slots[parting] = fresh[slots[parting]]
-            made += len(full)
-            sizes = np.bincount(slots, weights=by_slot, minlength=len(grown))
-        self.slots, self.local_depth, self.buckets = slots.astype(np.int32), local.astype(np.int8), made
+            depths[full], sizes[full] = self.depth, by_slot[full]
+        over = np.maximum(sizes / bucket_bytes, 1)
+        self.depths = np.minimum(depths + np.ceil(np.log2(over)).astype(np.int64), 62)
 
     def bucket(self, key: int) -> int:
-        return int(self.slots[(key & 0xFFFFFFFFFFFFFFFF) >> (64 - self.depth)]) if self.depth else 0
+        """A 1, then the bits of the key that name its bucket."""
+        bits = key & 0xFFFFFFFFFFFFFFFF
+        depth = int(self.depths[bits >> (64 - self.depth)]) if self.depth else int(self.depths[0])
+        return 1 << depth | bits >> (64 - depth)
 
 
 def _collapsed(directory: Directory):
@@ -89,7 +86,7 @@ def _collapsed(directory: Directory):
     def out(held):
         rows = [(directory.bucket(k), k, b, most, n) for k, chain in held.items() for b, most, n in chain]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "key", "body", "most", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "key", "body", "most", "n"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -125,7 +122,7 @@ def _owner(bucket_rows: pa.Table) -> pa.Table:
         chain_in(held, key.as_py(), body.as_py(), most.as_py(), n.as_py())
     bucket = bucket_rows.column("bucket")[0].as_py()
     rows = [(bucket, k, at, hashlib.sha256(b).digest(), most, n) for k, chain in held.items() for at, (b, most, n) in enumerate(chain)]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "key", "chain", "sha", "keep_id", "group_size"])
 
 
@@ -134,13 +131,12 @@ def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[Data
     settle(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     entries = written(docs.mapInArrow(_entries, "doc_id long, key long, sha binary, n long"), "entries")
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
+    prefix = F.shiftrightunsigned("key", 64 - SLOT_BITS)
     distinct = entries.groupBy("key").agg(F.max("n").alias("n"))
     sizes = distinct.groupBy(prefix.cast("int").alias("p")).agg(F.sum(F.col("n") + 100).alias("n")).toPandas()
-    total = float(sizes["n"].sum()) if len(sizes) else 0.0
-    directory = Directory(dict(zip(sizes["p"].tolist(), sizes["n"].tolist(), strict=True)), int(max(bucket_bytes, total / (1 << (MAX_DEPTH - 2)))))
-    texts = docs.mapInArrow(_collapsed(directory), "bucket int, key long, body binary, most long, n long")
-    index = texts.groupBy("bucket").applyInArrow(_owner, "bucket int, key long, chain int, sha binary, keep_id long, group_size long")
+    directory = Directory(dict(zip(sizes["p"].tolist(), sizes["n"].tolist(), strict=True)), bucket_bytes)
+    texts = docs.mapInArrow(_collapsed(directory), "bucket long, key long, body binary, most long, n long")
+    index = texts.groupBy("bucket").applyInArrow(_owner, "bucket long, key long, chain int, sha binary, keep_id long, group_size long")
     return entries, written(index, "index"), directory
 
 
@@ -158,12 +154,13 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; of rows alike in id and text, one stays."""
-    marks = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """``docs``, all columns, without the rows that :func:`exact_dedup` drops; of rows alike in id and text, one stays."""
+    name, sha, own = fresh_names(docs, 3)
+    marks = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha)).distinct()
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    low = F.translate(body, _UPPER, _UPPER.lower())
-    kept = docs.withColumn("__n", F.sha2(low, 256)).join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__sha")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__n"]).drop("__n")
+    kept = docs.withColumn(own, F.sha2(F.translate(body, _UPPER, _UPPER.lower()), 256))
+    kept = kept.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
