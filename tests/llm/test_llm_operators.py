@@ -185,6 +185,81 @@ def test_kneser_ney_sums_to_one():
             assert sum(model.likelihood(context + x, c) for x in letters) == pytest.approx(1, abs=0.11)
 
 
+def text_grams(text, order=5):
+    """Those of each padded word, then those over each space."""
+    words, out = text.split(), []
+    for w in words:
+        padded = "\x02" * (order - 1) + w + " "
+        out += [padded[i : i + order] for i in range(len(w) + 1)]
+    for a, b in zip(words, words[1:]):
+        joint = f"{a} {b}"
+        out += [joint[i : i + order] for i in range(len(joint) - order + 1) if i <= len(a) and i + order > len(a) + 1]
+    return out
+
+
+def plain_kneser_ney(texts, gram, c, order, discount):
+    """Probability of a gram's last character by the definition, from texts per class."""
+    grams = [Counter(g for t in own for g in text_grams(t, order)) for own in texts]
+    top, context = grams[c], gram[:-1]
+
+    def shared(g):
+        if not g:
+            return 1 / (len({x[-1] for x in set(grams[0]) | set(grams[1])}) + 1)
+        kinds = {x[-len(g) - 1 :] for x in set(grams[0]) | set(grams[1])}  # the grams one longer
+        follow = Counter(x[1:] for x in kinds)
+        total = sum(n for x, n in follow.items() if x[:-1] == g[:-1])
+        lower = shared(g[1:])
+        if not total:
+            return lower
+        return (max(follow[g] - discount, 0) + discount * sum(x[:-1] == g[:-1] for x in follow) * lower) / total
+
+    total = sum(n for g, n in top.items() if g[:-1] == context)
+    if not total:
+        return shared(gram[1:])
+    return (max(top[gram] - discount, 0) + discount * sum(g[:-1] == context for g in top) * shared(gram[1:])) / total
+
+
+def test_kneser_ney_equals_its_definition():
+    texts = [["an apple a day", "a dog and a cat", "an apple"], ["you mad dog", "mad mad cat"]]
+    counts = {}
+    for c in (0, 1):
+        for t in texts[c]:
+            for g in text_grams(t):
+                pair = counts.setdefault(g, [0, 0])
+                pair[c] += 1
+    model = toxicity.KneserNey({g: tuple(p) for g, p in counts.items()})
+    probe = "you mad apple and xq dog mad"
+    for c in (0, 1):
+        for g in text_grams(probe):
+            assert model.likelihood(g, c) == pytest.approx(plain_kneser_ney(texts, g, c, toxicity.ORDER, toxicity.DISCOUNT), rel=1e-9), g
+    words = probe.split()
+    model.learn(set(words))
+    want = [math.log(plain_kneser_ney(texts, g, 1, 5, 0.75) / plain_kneser_ney(texts, g, 0, 5, 0.75)) for g in text_grams(probe)]
+    met = model.meetings([["one"], words, [], ["a", "b"]])
+    assert [len(m) for m in met] == [0, len(words) - 1, 0, 1]
+    assert sum(model.memo.now[w] for w in words) + met[1].sum() == pytest.approx(sum(want))
+
+
+def test_expressions_over_spaces_are_learnt(spark):
+    """Both words are as common in either class; only their meeting is toxic."""
+    r = random.Random(4)
+    rows, marks = [], []
+    for i in range(1200):
+        words = prose(r, 30).split()
+        toxic = int(i % 3 == 0)
+        for _ in range(2):
+            k = r.randrange(1, len(words) - 1)
+            words[k : k + 1] = ["go", "away"] if toxic else ["go", words[k]] if r.random() < 0.5 else [words[k], "away"]
+        rows.append((i, " ".join(words)))
+        marks.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    held = [x for x in toxicity.toxicity(docs, labels).join(labels, "doc_id").collect() if x.held_out]
+    assert np.mean([x.predicted == x.toxic for x in held]) > 0.75  # two thirds are ordinary
+    kn = toxicity.fit(docs, labels).kn
+    met = kn.meetings([["go", "away"], ["go", "and"], ["the", "away"]])
+    assert met[0][0] > max(2, met[1][0], met[2][0])
+
+
 def test_quality_held_out(spark):
     r = random.Random(1)
     rows, marks = [], []
@@ -434,13 +509,25 @@ def test_exact_dedup_equals_brute_force(spark, odd):
 def test_directory_splits_only_full_buckets():
     sizes = {p << 8: 1 for p in range(1 << 10)} | {5: 900, 6: 900, (1 << 17) + 3: 50}
     d = exact_dedup.Directory(sizes, 300)
-    of = {p: d.bucket((p << (64 - exact_dedup.MAX_DEPTH))) for p in sizes}
+    of = {p: d.bucket((p << (64 - exact_dedup.SLOT_BITS))) for p in sizes}
     assert of[5] != of[6]  # parted only by their last bits
     held = {}
     for p, b in of.items():
         held[b] = held.get(b, 0) + sizes[p]
     assert all(n <= 300 or b in (of[5], of[6]) for b, n in held.items())
-    assert sum(2.0 ** -int(d.local_depth[np.flatnonzero(d.slots == b)[0]]) for b in range(d.buckets)) == 1.0
+    assert sum({d.bucket(p << (64 - d.depth)): 2.0 ** (1 - d.bucket(p << (64 - d.depth)).bit_length()) for p in range(1 << d.depth)}.values()) >= 1 - 2.0**-16  # prefixes that cover all keys, but for the two below slots
+
+
+def test_buckets_below_slots_are_bounded(spark):
+    """With four slots and 3,000 texts, buckets still hold few bytes, and results don't change."""
+    r = np.random.default_rng(5)
+    keys = r.integers(-(1 << 63), 1 << 63, 3000).tolist()
+    sizes = Counter((k & 0xFFFFFFFFFFFFFFFF) >> 62 for k in keys)
+    d = exact_dedup.Directory({p: 1000 * n for p, n in sizes.items()}, 20_000, slot_bits=2)
+    held = Counter(d.bucket(k) for k in keys)
+    assert d.depth == 2 and len(held) > 150 and max(held.values()) <= 40
+    names = sorted(held, key=int.bit_length)
+    assert not any(b != a and b >> (b.bit_length() - a.bit_length()) == a for a in names for b in names if b.bit_length() >= a.bit_length())  # none is another's prefix
 
 
 def test_equal_keys_are_chained():
