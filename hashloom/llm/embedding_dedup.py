@@ -1,16 +1,20 @@
-"""Near-duplicate vectors by buckets of projection signs, compared all with all.
-
-Each pass hashes a vector by the signs of its projections on ``bits`` random
-directions; vectors of equal signs share a bucket, and each bucket's vectors are
-all compared by their exact cosine, large buckets in square blocks over many
-tasks. A pair at the threshold agrees in one sign with probability
-``1 - acos(threshold) / pi``, whatever other vectors there are. ``passes_for``
-makes so many passes that it meets in one but for probability ``MISS``, so dense
-directions cost time and no links. With no bits, all pairs are compared, once.
-
-The bits are those of least cost, by the pairs that share buckets in a sample:
-evenly spread vectors take more bits the more rows there are; where most pairs
-are at dense directions, comparing them once is cheaper than in many passes.
+"""Near-duplicate vectors by sorted passes of concatenated random projections.
+
+Equal vectors are one, with their number. Each pass gives a vector a key of
+random hashes one after another: a hash is the direction, of ``FAN`` random ones
+and their opposites, on which its projection is longest. Vectors are ordered by
+their keys, and those that share the first ``digits`` hashes are neighbours: a
+run of them is compared all with all by exact cosines, in one window if it is
+short, otherwise in square blocks over many tasks, so no window's edge loses a
+pair. A pair at the threshold agrees in one hash with a probability that depends
+on its angle alone, whatever other vectors there are. ``passes_for`` makes so
+many passes that it meets in one but for probability ``MISS``; dense directions
+cost time and no links.
+
+The number of digits is that of least cost, by the pairs that share runs in a
+sample: evenly spread vectors take more the more rows there are. Passes go
+``TOGETHER`` at a time, so that no more copies of the table are on their way at
+once; what they leave are links.
 
 A block emits for each vector one link to the root of its verified neighbours,
 not all pairs, so a large group of near copies costs rows in proportion to its
@@ -21,6 +25,7 @@ large component are spread over tasks.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,42 +33,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import components, settle, written
+from hashloom.llm.common import components, free_shuffles, settle, written
 
 THRESHOLD = 0.95
-BITS = 48
+#: Directions of a hash, bits of its value, and the most hashes of a key.
+FAN, DIGIT_BITS, DIGITS = 64, 7, 6
 BLOCK = 1024
 #: Rows of a block in the passes at most, and numbers in it.
 LINK_BLOCK, LINK_NUMBERS = 8192, 1 << 19
-#: Probability that a pair at the threshold meets in no pass: so small that none is lost in tables of many millions of links.
-MISS = 1e-9
+#: Probability that a pair at the threshold meets in no pass.
+MISS = 1e-6
+#: Passes of one job.
+TOGETHER = 4
 ROWS_A_TASK = 25_000
-#: Rows and passes of the sample that the bits are chosen by.
-SAMPLE, TRIED = 50_000, 4
+#: Rows and passes of the sample that the digits are chosen by.
+SAMPLE, TRIED = 50_000, 2
 #: Seconds of a row in a pass, of a pair, and of a multiplication in a pair's product.
 A_ROW, A_PAIR, A_PRODUCT = 1e-5, 3e-9, 1e-10
 
 
-def passes_for(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold has shared no bucket of ``bits`` signs with probability ``miss`` at most."""
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return 1 if meet >= 1 else math.ceil(math.log(miss) / math.log1p(-meet))
+@functools.lru_cache(maxsize=8)
+def agreement(threshold: float, draws: int = 400_000) -> float:
+    """Probability that a hash agrees for vectors of cosine ``threshold``, less three deviations of its estimate.
+
+    Projections of a pair are pairs of normal numbers of that correlation, in any number of dimensions.
+    """
+    random, met = np.random.default_rng(17), 0
+    for _ in range(draws // 20_000):
+        x = random.standard_normal((20_000, FAN))
+        y = threshold * x + math.sqrt(1 - threshold**2) * random.standard_normal((20_000, FAN))
+        i, j = np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1)
+        row = np.arange(len(x))
+        met += int(((i == j) & (x[row, i] * y[row, j] > 0)).sum())
+    p = met / draws
+    return p - 3 * math.sqrt(p * (1 - p) / draws)
+
+
+def passes_for(digits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold has shared no run of ``digits`` hashes with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-(agreement(threshold) ** digits)))
 
 
 def cheapest(n: int, share: int, turns: np.ndarray, sizes: np.ndarray, keys: np.ndarray, threshold: float) -> int:
-    """Bits of least cost for ``n`` vectors, of which each ``share``-th has its keys of all ``BITS`` signs in ``TRIED`` passes here."""
+    """Digits of least cost for ``n`` vectors, of which each ``share``-th has its keys of all ``DIGITS`` hashes in ``TRIED`` passes here."""
     order = np.lexsort((keys, sizes, turns))
     turns, sizes, keys = turns[order], sizes[order], keys[order]
     other = np.r_[True, (np.diff(turns) != 0) | (np.diff(sizes) != 0)][: len(keys)]
-    best, least = 0, math.inf
-    for bits in range(BITS + 1):
-        part = keys >> (BITS - bits)
+    best, least = 1, math.inf
+    for digits in range(1, DIGITS + 1):
+        part = keys >> (DIGIT_BITS * (DIGITS - digits))
         at = np.flatnonzero(other | np.r_[True, np.diff(part) != 0][: len(keys)])
         count = np.diff(np.r_[at, len(keys)])
         pairs = count * (count - 1.0) / 2 * share**2 / TRIED
-        cost = passes_for(bits, threshold) * (n * A_ROW + float((pairs * (A_PAIR + A_PRODUCT * sizes[at])).sum()))
+        cost = passes_for(digits, threshold) * (n * A_ROW + float((pairs * (A_PAIR + A_PRODUCT * sizes[at])).sum()))
         if cost < least:
-            best, least = bits, cost
+            best, least = digits, cost
     return best
 
 
@@ -84,21 +108,29 @@ def units(column: pa.Array) -> np.ndarray:
 
 
 def directions(turn: int, size: int) -> np.ndarray:
-    return np.random.default_rng([911, turn, size]).standard_normal((size, BITS))
+    return np.random.default_rng([911, turn, size]).standard_normal((size, DIGITS * FAN))
 
 
-def _keyed(passes: int, bits: int, vectors: bool = True):
-    place = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+def keys_of(x: np.ndarray, turn: int, digits: int) -> np.ndarray:
+    """Keys of so many hashes, the first one highest."""
+    key = np.zeros(len(x), dtype=np.int64)
+    along = directions(turn, x.shape[1])
+    for d in range(digits):
+        y = x @ along[:, d * FAN : (d + 1) * FAN]
+        longest = np.abs(y).argmax(axis=1)
+        key = (key << DIGIT_BITS) | (2 * longest + (y[np.arange(len(x)), longest] > 0))
+    return key
 
+
+def _keyed(turns: list[int], digits: int, vectors: bool = True):
     def run(batches):
         for batch in batches:
             lengths = np.asarray(batch.column(1).value_lengths())
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
-                x = units(part.column(1)) if bits else None
-                for turn in range(passes):
-                    key = ((x @ directions(turn, int(size))[:, :bits]) > 0) @ place if bits else np.zeros(len(part), dtype=np.int64)
-                    marks = [pa.array(np.full(len(part), turn), pa.int32()), pa.array(np.full(len(part), size), pa.int32()), pa.array(key, pa.int64())]
+                x = units(part.column(1))
+                for turn in turns:
+                    marks = [pa.array(np.full(len(part), turn), pa.int32()), pa.array(np.full(len(part), size), pa.int32()), pa.array(keys_of(x, turn, digits), pa.int64())]
                     yield pa.RecordBatch.from_arrays(marks + part.columns if vectors else marks, ["turn", "size", "key", "vec_id", "v"][: 5 if vectors else 3])
 
     return run
@@ -163,20 +195,26 @@ def links(sound: DataFrame, n: int, threshold: float) -> DataFrame:
     """Links ``a, b`` that connect the ``n`` vectors of ``sound(vec_id, embedding)`` as all pairs at the threshold do."""
     kind, marks = sound.schema["embedding"].dataType.simpleString(), "turn int, size int, key long"
     share = math.ceil(n / SAMPLE) or 1
-    tried = sound.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(share)) == 0).mapInArrow(_keyed(TRIED, BITS, False), marks).toPandas()
-    bits = cheapest(n, share, *(tried[c].to_numpy(dtype=np.int64) for c in ("turn", "size", "key")), threshold)
-    passes = passes_for(bits, threshold)
+    tried = sound.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(share)) == 0).mapInArrow(_keyed(list(range(TRIED)), DIGITS, False), marks).toPandas()
+    digits = cheapest(n, share, *(tried[c].to_numpy(dtype=np.int64) for c in ("turn", "size", "key")), threshold)
+    passes = passes_for(digits, threshold)
     # Blocks of an eighth of the rows, as far as they fit into a task.
     most = F.greatest(F.lit(BLOCK), F.least(F.lit(max(1, min(LINK_BLOCK, math.ceil(n / 8)))), F.lit(LINK_NUMBERS) / F.col("size")))
-    large = sound.mapInArrow(_keyed(passes, bits, False), marks).groupBy("turn", "size", "key").agg(F.count("*").alias("n"))
-    large = written(large.select("turn", "size", "key", F.ceil(F.col("n") / most).cast("int").alias("blocks")).where("blocks > 1"), "buckets")
-    rows = sound.mapInArrow(_keyed(passes, bits), f"{marks}, vec_id long, v {kind}").join(F.broadcast(large), ["turn", "size", "key"], "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    tasks = max(64, n * passes // ROWS_A_TASK)
-    rows = rows.select("turn", "size", "key", low.alias("low"), high.alias("high"), "own", "vec_id", "v", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("turn", "size", "key"), F.lit(tasks))).otherwise(F.xxhash64("turn", "size", "key", low, high)).alias("task"))
-    return rows.groupBy("task").applyInArrow(_linked(threshold), "a long, b long")
+    found = None
+    for first in range(0, passes, TOGETHER):
+        turns = list(range(first, min(first + TOGETHER, passes)))
+        large = sound.mapInArrow(_keyed(turns, digits, False), marks).groupBy("turn", "size", "key").agg(F.count("*").alias("n"))
+        large = written(large.select("turn", "size", "key", F.ceil(F.col("n") / most).cast("int").alias("blocks")).where("blocks > 1"), "runs")  # at most an eighth of the rows of a pass, or as many as blocks
+        rows = sound.mapInArrow(_keyed(turns, digits), f"{marks}, vec_id long, v {kind}").join(large, ["turn", "size", "key"], "left")
+        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        tasks = max(16, n * len(turns) // ROWS_A_TASK)
+        rows = rows.select("turn", "size", "key", low.alias("low"), high.alias("high"), "own", "vec_id", "v", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("turn", "size", "key"), F.lit(tasks))).otherwise(F.xxhash64("turn", "size", "key", low, high)).alias("task"))
+        more = written(rows.groupBy("task").applyInArrow(_linked(threshold), "a long, b long"), "found")
+        free_shuffles(sound.sparkSession)
+        found = more if found is None else found.unionAll(more)
+    return found.distinct()
 
 
 def _counted(threshold: float):
@@ -187,18 +225,18 @@ def _counted(threshold: float):
         marks = np.stack([rows.column(c).to_numpy() for c in ("component", "size", "low", "high")])
         ids, own = rows.column("vec_id").to_numpy(), rows.column("own").to_numpy()
         cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), len(ids)]
-        counts = np.zeros(len(ids), dtype=np.int64)
+        counts, copies = np.zeros(len(ids), dtype=np.int64), rows.column("copies").to_numpy()
         vectors = rows.column("v")
         for a, b in zip(cuts, cuts[1:], strict=False):
             x = units(pa.concat_arrays(vectors.slice(a, b - a).chunks))
             if marks[2, a] == marks[3, a]:
                 linked = x @ x.T >= threshold
                 linked &= ids[a:b, None] != ids[None, a:b]
-                counts[a:b] = linked.sum(axis=1)
+                counts[a:b] = linked @ copies[a:b]
             else:
                 first, second = np.flatnonzero(own[a:b] == marks[2, a]), np.flatnonzero(own[a:b] == marks[3, a])
                 linked = x[first] @ x[second].T >= threshold
-                counts[a + first], counts[a + second] = linked.sum(axis=1), linked.sum(axis=0)
+                counts[a + first], counts[a + second] = linked @ copies[a + second], copies[a + first] @ linked
         return pa.table([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["vec_id", "n"])
 
     return run
@@ -215,19 +253,28 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     settle(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
-    sound = written(rows.where(usable(rows) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"]), "vectors")
+    named = written(rows.where(usable(rows) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"]), "vectors")
+    sound = written(named.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "embedding", "copies"), "distinct")
     n = sound.count()
-    found = components(links(sound, n, threshold))
+    several = sound.where("copies > 1").select("embedding", F.col("vec_id").alias("first"), "copies")
+    same = written(named.join(several, "embedding").select("vec_id", "first", "copies"), "same")
+    alike = same.groupBy("vec_id").agg(F.sum(F.col("copies") - 1).alias("n"))  # links of equal vectors
+    met = links(sound.select("vec_id", "embedding"), n, threshold).unionAll(same.where("vec_id <> first").select("vec_id", "first"))
+    found = components(met)
     found = written(found, "components")
 
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = found.join(sizes, "component").join(sound.withColumnRenamed("vec_id", "node"), "node")
+    sizes = found.groupBy("component").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    member = found.join(sizes, "component").join(sound.withColumnRenamed("vec_id", "node"), "node").withColumn("blocks", blocks)
     member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    member = member.select("component", F.size("embedding").alias("size"), low.alias("low"), high.alias("high"), "own", F.col("node").alias("vec_id"), F.col("embedding").alias("v"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(64, n // ROWS_A_TASK)))).otherwise(F.xxhash64("component", low, high)).alias("task"))
+    member = member.select("component", F.size("embedding").alias("size"), low.alias("low"), high.alias("high"), "own", F.col("node").alias("vec_id"), F.col("embedding").alias("v"), "copies", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(64, n // ROWS_A_TASK)))).otherwise(F.xxhash64("component", low, high)).alias("task"))
     counts = member.groupBy("task").applyInArrow(_counted(threshold), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    marks = found.select(F.col("node").alias("vec_id"), F.col("component")).join(counts, "vec_id", "left")
+    # A vector's count is that of the first id of its equals, and those.
+    whose = named.select("vec_id").distinct().join(same.select("vec_id", "first"), "vec_id", "left").select("vec_id", F.coalesce("first", "vec_id").alias("first"))
+    own = whose.join(counts.withColumnRenamed("vec_id", "first"), "first").groupBy("vec_id").agg(F.sum("n").alias("n")).unionAll(alike).groupBy("vec_id").agg(F.sum("n").alias("n"))
+    marks = found.select(F.col("node").alias("vec_id"), F.col("component")).join(own, "vec_id", "left")
     out = rows.select("vec_id").join(marks, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
