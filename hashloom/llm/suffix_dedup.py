@@ -356,15 +356,15 @@ def merged(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list[int
 def earlier(rows: np.ndarray, shared: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each entry of a merged order, the offsets (bits) of those of its windows that a smaller document has."""
     found = np.zeros(len(rows), dtype=np.uint32)
-    left = np.zeros(len(rows), dtype=np.uint64)
+    left = np.zeros(len(rows), dtype=np.int64)  # of the bytes before the anchor, as far as the offset reaches: equal numbers for equal bytes
     for offset in range(LEFT + 1):
         if offset:
-            left = left * np.uint64(_BASE) + _TABLE[rows[:, SPAN + offset - 1]]
+            left = np.unique(left * 256 + rows[:, SPAN + offset - 1], return_inverse=True)[1]
         ok = np.flatnonzero((rows[:, -2] <= offset) & (offset <= rows[:, -1]))
         if not len(ok):
             continue
-        right = np.cumsum(shared < SPAN - offset)[ok].astype(np.uint64)  # equal right parts are neighbours
-        key = _mix(left[ok] + _mix(right * np.uint64(_BASE) + np.uint64(1)))
+        right = np.cumsum(shared < SPAN - offset)[ok]  # equal right parts are neighbours
+        key = left[ok] * (len(rows) + 1) + right
         order = np.argsort(key, kind="stable")
         key, who = key[order], docs[ok][order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -436,8 +436,7 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int =
     with a smaller id; strings are judged on the input. Null text is empty; texts
     under ``SPAN`` bytes lose nothing. Rows that repeat an id don't take from each
     other. A null id is above all others. An empty table gives no row; other
-    columns are not read. Windows are told apart by their right part exactly and their left
-    part by 64 bits, within a hash range.
+    columns are not read. Windows are told apart by their bytes.
     """
     spark = docs.sparkSession
     settle(spark)
