@@ -56,12 +56,20 @@ _TABLE = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
 _CODEC, _LEVEL = "zstd", 3
 
 
+#: Below so many bytes a piece isn't compressed.
+_SMALL = 300
+
+
 def _packed(body: bytes) -> bytes:
+    """The length, 0 for what stands as it is, then the body."""
+    if len(body) < _SMALL:
+        return bytes(8) + body
     return len(body).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=_LEVEL).compress(body, asbytes=True)
 
 
 def _unpacked(body: bytes) -> bytes:
-    return pa.Codec(_CODEC).decompress(memoryview(body)[8:], decompressed_size=int.from_bytes(body[:8], "little"), asbytes=True) if len(body) > 8 else b""
+    size = int.from_bytes(body[:8], "little")
+    return pa.Codec(_CODEC).decompress(memoryview(body)[8:], decompressed_size=size, asbytes=True) if size else bytes(body[8:])
 
 
 def _power(n: int) -> np.uint64:
@@ -182,9 +190,9 @@ def _hashes_sent(ranges: int):
                 apart = np.concatenate([[False], same & (doc[1:] != doc[:-1])])[: len(value)]
                 several = np.logical_or.reduceat(apart, new) if len(new) else np.zeros(0, dtype=bool)
                 owner, value = owner[new], value[new]
-                cuts = np.searchsorted(owner, np.arange(ranges + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), name), pa.int64()), pa.array([_coded(value[cuts[r] : cuts[r + 1]], several[cuts[r] : cuts[r + 1]]) for r in some], pa.binary())], ["owner", "block", "blob"])
+                some, cuts = np.unique(owner, return_index=True)  # only what the block has is looked at, however many ranges there are
+                cuts = [*cuts.tolist(), len(owner)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), name), pa.int64()), pa.array([_coded(value[a:b], several[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], ["owner", "block", "blob"])
                 del block
                 tidy()
 
@@ -228,13 +236,16 @@ def entries(body: np.ndarray, ends: np.ndarray, place: np.ndarray, least: np.nda
     return out
 
 
-def front_coded(rows: np.ndarray, docs: np.ndarray) -> bytes:
-    """A sorted run: prefix lengths, rests and least documents."""
+def front_coded(rows: np.ndarray, docs: np.ndarray, cuts: list[int]) -> list[bytes]:
+    """Sorted runs, one between each two cuts: prefix lengths, least documents and rests."""
     shared = np.zeros(len(rows), dtype=np.uint8)
     differ = rows[1:] != rows[:-1]
     shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), ENTRY)
+    shared[cuts[:-1]] = 0
     rest = rows[np.arange(ENTRY)[None, :] >= shared[:, None]]
-    return len(rows).to_bytes(8, "little") + _packed(shared.tobytes() + docs.astype("<i8").tobytes() + rest.tobytes())
+    upto = np.concatenate([[0], np.cumsum(ENTRY - shared.astype(np.int64))])
+    docs = docs.astype("<i8")
+    return [(b - a).to_bytes(8, "little") + _packed(shared[a:b].tobytes() + docs[a:b].tobytes() + rest[upto[a] : upto[b]].tobytes()) for a, b in zip(cuts, cuts[1:])]
 
 
 def front_decoded(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
@@ -259,32 +270,24 @@ def _runs(ranges: int):
                 wanted = np.sort(np.concatenate([(np.int64(o) << VALUE_BITS) | _uncoded(b)[0] for o, b in zip(owners, blobs, strict=True)]))
                 mine = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
                 place, least, most, owner, doc = place[mine], least[mine], most[mine], owner[mine], doc[mine]
-                for low, high, r in _by_owner(owner, ranges):
-                    at = low[high]
-                    rows = entries(block.body, block.ends, place[at], least[at], most[at], doc[at])
-                    who = block.ids[doc[at]]
-                    order = np.lexsort((who, np.ascontiguousarray(rows).view(f"S{ENTRY}").ravel()))
-                    rows, who, spot = rows[order], who[order], place[at][order]
-                    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-                    first = who[new]
-                    count = np.diff(np.append(new, len(rows)))
-                    later = (who != np.repeat(first, count)).astype(np.uint8)
-                    distinct = rows[new]
-                    own = _packed(count.astype("<u4").tobytes() + distinct[:, -2:].tobytes() + spot.astype("<u4").tobytes() + later.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([name], pa.int64()), pa.array([len(new)], pa.int64()), pa.array([front_coded(distinct, first)], pa.binary()), pa.array([own], pa.binary())], ["owner", "block", "n", "run", "own"])
-                del block
+                rows, who = entries(block.body, block.ends, place, least, most, doc), block.ids[doc]
+                order = np.lexsort((who, np.ascontiguousarray(rows).view(f"S{ENTRY}").ravel(), owner))
+                rows, who, spot, owner = rows[order], who[order], place[order].astype("<u4"), owner[order]
+                new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1) | (owner[1:] != owner[:-1])]))
+                count = np.diff(np.append(new, len(rows))).astype("<u4")
+                later = (who != np.repeat(who[new], count)).astype(np.uint8)
+                some, cuts = np.unique(owner[new], return_index=True)
+                cuts, begin = [*cuts.tolist(), len(new)], np.append(new, len(rows))
+                reach = rows[new, -2:]
+                own = [_packed(count[a:b].tobytes() + reach[a:b].tobytes() + spot[begin[a] : begin[b]].tobytes() + later[begin[a] : begin[b]].tobytes()) for a, b in zip(cuts, cuts[1:])]
+                cols = [pa.array(some, pa.int32()), pa.array(np.full(len(some), name), pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(front_coded(rows[new], who[new], cuts), pa.binary()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["owner", "block", "n", "run", "own"])
+                del block, rows, own, cols
                 tidy()
 
     return run
 
 
-def _by_owner(owner: np.ndarray, ranges: int):
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(ranges + 1))
-    for r in np.flatnonzero(np.diff(cuts)):
-        yield order, slice(cuts[r], cuts[r + 1]), int(r)
-
-
 # 4. Merge.
 
 

@@ -121,7 +121,7 @@ def test_loser_tree(runs):
     size = suffix_dedup.ENTRY
     word = lambda: bytes(r.choice(b"ab") for _ in range(r.choice([2, 5, size]))).ljust(size, b"a")
     made = [sorted({word() for _ in range(r.randint(1, 60))}) for _ in range(runs)]
-    blobs = [suffix_dedup.front_coded(np.frombuffer(b"".join(m), dtype=np.uint8).reshape(-1, size), np.arange(len(m))) for m in made]
+    blobs = [suffix_dedup.front_coded(np.frombuffer(b"".join(m), dtype=np.uint8).reshape(-1, size), np.arange(len(m)), [0, len(m)])[0] for m in made]
     rows, prefixes, docs = zip(*map(suffix_dedup.front_decoded, blobs))
     assert list(rows) == made and all((d == np.arange(len(d))).all() for d in docs)
     run, at, shared = suffix_dedup.merged(list(rows), list(prefixes))
