@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashloom.sources.shared import shared_dir
+
 _live: dict[str, object] = {}
 _kept: dict[str, object] = {}
-_own: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='hashloom-')}")
-        base = _own[0]
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, tag: str, keep: bool = False) -> str:
     """A new path in the shared folder; it lives until :func:`release`, or the interpreter's end with ``keep``."""
     path = f"{shared_dir(spark)}/hashloom-{tag}-{uuid.uuid4().hex}"
@@ -56,10 +46,9 @@ def _at_exit() -> None:
             return
 
 
-def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written_to(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path, before = scratch(spark, tag, keep), spark.conf.get(_CLEANUP, "false")
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # this write's shuffle files go when it has ended, not when the driver collects garbage
     try:
         df.write.parquet(path)
@@ -68,6 +57,11 @@ def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    return written_to(df, scratch(df.sparkSession, tag, keep))
+
+
 #: Arrow batches of so many rows and bytes, so that long texts don't fill a worker. Only Spark's defaults are changed.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
