@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hashloom.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from hashloom.llm.common import free_shuffles, release, table, written
+from hashloom.llm.common import drop, free_shuffles, release, scratch, table, written_to
 
 
 def _clear(spark: SparkSession) -> None:
@@ -20,31 +20,31 @@ def _clear(spark: SparkSession) -> None:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the labels' own documents fit the model."""
+    """Documents that score below one half; the labels' own documents fit the model. Null and empty texts have no evidence: they stay unless such labels are mostly toxic."""
     _clear(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts (null is empty) the row with the largest id; a null id is below all others."""
     _clear(spark)
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id."""
+    """Of each group of near duplicates the row with the smallest id, a null id above all others; null and empty texts are one group."""
     _clear(spark)
     return near_dedup.representatives(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind, and ``n_chars`` set to the new length; null texts stay null."""
     _clear(spark)
     return pii.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in windows."""
+    """Pieces in windows; a null or empty text is the one end id."""
     _clear(spark)
     return packing.pack(docs)
 
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's table goes once the next one's is written; the last stage reads the one that is left."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        path = scratch(spark, f"stage-{name}", keep=True)
+        docs = written_to(stage(spark, docs, sf_dir), path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
