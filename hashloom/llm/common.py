@@ -22,6 +22,11 @@ def scratch(spark: SparkSession, tag: str, keep: bool = False) -> str:
     return path
 
 
+def scratched() -> set[str]:
+    """The scratch paths that live."""
+    return set(_live)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Spark's own file systems."""
     jvm = spark.sparkContext._jvm

@@ -109,3 +109,39 @@ def test_folds(spark):
     got = spark.range(50).select("id", fold_of("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
     assert hashlib.sha256(b"").hexdigest() and F
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, ties and repeated rows, and columns whose names the stages might use."""
+    text = "the cat sat on the mat and looked at the other cat for a while"
+    rows = [(None, None, None, None, None), (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, text, "en", "s", len(text)), (3, text, "en", "s", len(text)), (4, text.upper(), None, None, None), (None, text, "en", "s", 5)]
+    rows += [(5, "write to a.b@example.org or +1 (415) 555-2671 now please", "en", "s", 3), (6, " ".join(f"w{i % 977}x{i}" for i in range(40_000)), "en", "s", 9), (7, " \n ", "en", "s", 3), (None, "another text that has no id but is not like any other one here", "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["__0", "__1", "__2", "__id", "__n", "__sha", "__body", "__at", "node", "component", "key", "bucket", "body", "score", "kept", "class_id", "keep_id", "n", "at", "y"]
+    return docs.selectExpr("*", *[f"{i} as `{n}`" for i, n in enumerate(names)]).repartition(3)
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_and_empty_tables(spark, data, name, stage):
+    docs = odd_docs(spark)
+    got, none = stage(spark, docs, data), stage(spark, docs.where("false"), data)
+    assert none.count() == 0
+    rows = got.collect()
+    if name == "packing":
+        tokens = {(r.doc_id, r.doc_tokens) for r in rows}
+        assert (1, 1) in tokens and (2, 1) in tokens and sum(r.length for r in rows) == sum(n for n in (r.doc_tokens for r in rows if r.start == 0))
+        return
+    assert got.columns == docs.columns and all(r["__id"] == 3 and r.y == 19 for r in rows)
+    texts = [r.text for r in rows]
+    long = [t for t in texts if t and len(t) > 100_000]
+    assert len(long) == 1
+    if name in ("toxicity", "pii"):
+        assert len(rows) == docs.count()
+    if name == "exact_dedup":  # null and empty are one text, and so are the cases
+        assert sorted(str(r.doc_id) for r in rows) == sorted(["2", "4", "5", "6", "7", "None"])
+    if name == "near_dedup":
+        assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "3", "5", "6", "None"])
+    if name == "pii":
+        mended = next(r for r in rows if r.doc_id == 5)
+        assert mended.text == "write to <EMAIL> or <PHONE> now please" and mended.n_chars == len(mended.text)
+        assert sum(r.text is None for r in rows) == 2
