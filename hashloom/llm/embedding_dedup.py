@@ -282,3 +282,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs.
+ORACLE = """
+with recursive e as (select vec_id, cast(embedding as double[]) as v from embeddings
+    where len(embedding) > 0 and list_count(embedding) = len(embedding) and isfinite(list_sum(cast(embedding as double[]))) and (list_min(embedding) <> 0 or list_max(embedding) <> 0)),
+l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+r as (select a as node, a as reach from l union select r.node, l.b from r join l on r.reach = l.a),
+c as (select node, min(reach) as least from r group by node), n as (select a, count(*) as links from l group by a)
+select vec_id, coalesce(links, 0) as n_links, coalesce(least, vec_id) as component_id, coalesce(least, vec_id) = vec_id as kept from embeddings left join c on node = vec_id left join n on a = vec_id
+"""

@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE}

@@ -462,3 +462,18 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int =
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All windows of 50 bytes, in hexadecimal; texts are cut into parts first, so that no long one is copied for each of its windows.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+e as (select doc_id, base, substr(x, 2 * base + 1, 2 * 549) as y from (select doc_id, x, unnest(range(0, n, 500)) as base from d)),
+w as (select doc_id, base + t as s, substr(y, 2 * t + 1, 100) as g from (select doc_id, base, y, unnest(range(0, length(y) // 2 - 49)) as t from e)),
+m as (select g, min(doc_id) as least from w group by g having min(doc_id) < max(doc_id)),
+b as (select doc_id, s, lag(s) over (partition by doc_id order by s) as prior from w join m using (g) where least < doc_id),
+i as (select doc_id, s, sum(case when s - prior <= 50 then 0 else 1 end) over (partition by doc_id order by s) as k from b),
+r as (select doc_id, min(s) as a, max(s) + 50 as e from i group by doc_id, k),
+p as (select *, lag(e, 1, 0) over (partition by doc_id order by a) as kept_from from r),
+c as (select d.doc_id, string_agg(substr(x, 2 * kept_from + 1, 2 * (a - kept_from)), '' order by a) || substr(any_value(x), 2 * max(e) + 1) as kept, count(*) as spans, sum(e - a) as gone from p join d using (doc_id) group by d.doc_id)
+select doc_id, n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256 from d left join c using (doc_id)
+"""

@@ -87,7 +87,7 @@ def test_run_equals_the_stages(spark, data, stages):
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     df = registry.queries()[name](spark, data)
     got = con.execute(registry.oracles()[name])
