@@ -814,6 +814,23 @@ def test_passes_reach_the_stated_probability():
     assert all((1 - p**d) ** embedding_dedup.passes_for(d) <= embedding_dedup.MISS for d in range(1, 7))
 
 
+def test_ranking_equals_a_fit_on_all_pairs():
+    """The drawn pairs against gradient steps on every pair of a good and a poor document."""
+    r = np.random.default_rng(31)
+    k = len(quality.NAMES)
+    true = r.standard_normal(k)
+    x = r.standard_normal((80, k))
+    y = (x @ true + 3 * r.standard_normal(80) > 0).astype(int)
+    got = quality.fit_pairs(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, k)
+    w, scale = np.zeros(k), quality.PAIRS / len(d)
+    for _ in range(20_000):
+        w += 0.5 * ((d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) - 2.0 * w / (scale * len(d)))
+    assert np.corrcoef(w, got.weights)[0, 1] > 0.995 and 0.9 < np.linalg.norm(got.weights) / np.linalg.norm(w) < 1.1
+    assert (got.worth(x) < got.threshold).mean() == pytest.approx((y == 0).mean(), abs=0.02)
+
+
 # shared
 
 
