@@ -12,22 +12,23 @@ the two log-likelihoods by length: over the whole text by character, in its wors
 word by character, the number of words that outweigh the odds of the labels
 twice over by the logarithm of length, and of the meetings of words, and of the
 pairs that meet, the greatest and the logarithm of the mean likelihood ratio. A logistic fit on labelled rows that gave no counts
-turns these into a probability.
+turns these into a probability. Every labelled row outside the held-out fold takes part, whatever their number.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.labelled import MAX_LABELLED, chosen, fold_of, logistic, sample, sigmoid
-from hashloom.llm.tokenizing import Memo, text_slices, tidy
+from hashloom.llm.common import drop, scratch, written_to
+from hashloom.llm.labelled import among, fold_of, logistic_over, marked, sigmoid, tally
+from hashloom.llm.tokenizing import text_slices, tidy
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -35,9 +36,14 @@ FOLDS, HELD_OUT = 5, 0
 #: Of the labelled rows, this fold of a second hash fits the logistic; the others give counts.
 CALIBRATE = 4
 WORDS = 300_000
+#: Slots for the ratios of meetings, of which each holds the last that fell to it.
+MEETINGS = 1 << 19
+#: So many distinct meetings of a task are counted before their grams are handed on.
+HELD = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _START = "\x02"
 FEATURES = 8
+_MIX = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,160 +55,289 @@ def grams(word: str, order: int = ORDER) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
-def meeting(left: str, right: str, order: int = ORDER) -> str:
-    """What the grams over the space between two words are of."""
-    return (left + " ")[1 - order :] + right[: order - 1]
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def words_windows(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all grams of the words, a row each, and the number of grams of each word."""
+    pad = _START * (order - 1)
+    points = points_of(pad + (" " + pad).join(words) + " ")
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (order - 1), n)
+    return points[at[:, None] + np.arange(order)], n
+
+
+def rows_alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of at most six code points: a place of each distinct row, in order, and which of these each row is."""
+    keys = []
+    for low in range(0, rows.shape[1], 3):
+        key = np.zeros(len(rows), dtype=np.uint64)
+        for column in rows[:, low : low + 3].T:
+            key = key << np.uint64(21) | column
+        keys.append(key)
+    if not keys or not len(rows):
+        return np.zeros(min(1, len(rows)), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(rows), dtype=bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    which = np.empty(len(rows), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def mixed(windows: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of each row of code points."""
+    key = np.full(len(windows), seed, dtype=np.uint64)
+    for column in windows.T:
+        key = (key + column) * np.uint64(_MIX)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+class Words(dict):
+    """Numbers of words, given as they are met, and of what a meeting takes from either side of its space."""
+
+    def __init__(self, order: int = ORDER):
+        self.order, self.new, self.own = order, [], np.zeros(0)
+        self.n, self.left, self.right = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.lefts, self.rights = {}, {}
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        i = self[word] = len(self)
+        return i
 
+    @property
+    def now(self) -> dict[str, float]:
+        """The ratio of each word."""
+        return dict(zip(self, self.own.tolist(), strict=True))
+
+    def numbers(self, cut: list[list[str]]) -> np.ndarray:
+        """The numbers of all words of the texts, one after the other."""
+        return np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+
+    def placed(self) -> list[str]:
+        """The words that are new, with their lengths and sides now known."""
+        new, self.new = self.new, []
+        if new:
+            side, lefts, rights = self.order - 2, self.lefts, self.rights
+            self.n = np.append(self.n, np.fromiter(map(len, new), dtype=np.int64, count=len(new)))
+            self.left = np.append(self.left, [lefts.setdefault(w[-side:], len(lefts)) for w in new])
+            self.right = np.append(self.right, [rights.setdefault(w[: side + 1], len(rights)) for w in new])
+        return new
+
+    def meetings(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of all grams over the space of meetings, a row each, and of which meeting each is."""
+        order = self.order
+        used = [np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)]
+        names = [list(self.lefts), list(self.rights)]
+        sides = [points_of("".join([names[0][i].rjust(order - 2, "\0") for i in used[0][0].tolist()])).reshape(-1, order - 2), points_of("".join([names[1][i].ljust(order - 1, "\0") for i in used[1][0].tolist()])).reshape(-1, order - 1)]
+        joint = np.hstack([sides[0][used[0][1]], np.full((len(left), 1), 32, dtype=np.uint32), sides[1][used[1][1]]])
+        found = [(joint[:, i : i + order], np.flatnonzero((joint[:, i] != 0) & (joint[:, i + order - 1] != 0))) for i in range(order - 1)]
+        return np.concatenate([x[at] for x, at in found]), np.concatenate([at for _, at in found])
 
-def over(joint: str, order: int = ORDER) -> list[str]:
-    return [joint[i : i + order] for i in range(len(joint) - order + 1)]
 
+def pairs_of(lengths: np.ndarray) -> np.ndarray:
+    """The places, among the words of all texts, of those with a next one in their text."""
+    inner = np.ones(int(lengths.sum()), dtype=bool)
+    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
+    return np.flatnonzero(inner)
 
-def log_mean(ratios: np.ndarray) -> float:
-    top = ratios.max()
-    return float(top + np.log(np.exp(ratios - top).mean()))
 
+class Ratios:
+    """Log-likelihood ratio, toxic over ordinary, of grams by 64 bits of them, and of contexts for grams that neither class has seen.
 
-class KneserNey:
-    """Log-likelihood ratio of a word: toxic over ordinary."""
+    Of a gram that no class has seen both have the same backed-off rest, so its ratio is that of its context.
+    """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, discount: float = DISCOUNT, odds: float = 2.0):
+    def __init__(self, seed: int, tops: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], order: int = ORDER, odds: float = 2.0):
         #: Logarithm of ordinary over toxic labels: a word of a greater ratio makes its text toxic by itself.
         self.odds = max(odds, 0.1)
-        self.order, self.discount, self.top = order, discount, counts
-        self.total = [Counter(), Counter()]
-        self.kinds = [Counter(), Counter()]
-        follow: dict[str, int] = Counter()
-        for g, pair in counts.items():
-            for c in (0, 1):
-                if pair[c]:
-                    self.total[c][g[:-1]] += pair[c]
-                    self.kinds[c][g[:-1]] += 1
-        # Shared: at each lower order, how many characters a gram has been seen to follow.
-        self.low: dict[str, int] = {}
-        below = set(counts)
-        for _ in range(order - 1):
-            follow = Counter(g[1:] for g in below)
-            self.low.update(follow)
-            below = set(follow)
-        self.low_total, self.low_kinds = Counter(), Counter()
-        for g, n in self.low.items():
-            self.low_total[g[:-1]] += n
-            self.low_kinds[g[:-1]] += 1
-        self.letters = max(1, self.low_kinds[""])
-        self._shared: dict[str, float] = {}
-        self._gram: dict[str, float] = {}
-        self.memo = Memo(WORDS)
-        self._met: dict[int, float] = {}
+        self.seed, self.tops, self.contexts, self.order = seed, tops, contexts, order
+        self.forget()
 
-    def shared(self, gram: str) -> float:
-        if not gram:
-            return 1.0 / (self.letters + 1)
-        p = self._shared.get(gram)
-        if p is None:
-            total = self.low_total.get(gram[:-1], 0)
-            p = self.shared(gram[1:]) if len(gram) > 1 else 1.0 / (self.letters + 1)
-            if total:
-                p = (max(self.low.get(gram, 0) - self.discount, 0) + self.discount * self.low_kinds[gram[:-1]] * p) / total
-            if len(self._shared) > 2 * WORDS:
-                self._shared.clear()
-            self._shared[gram] = p
-        return p
+    def forget(self) -> None:
+        self.memo, self._slots = Words(self.order), None
 
-    def likelihood(self, gram: str, c: int) -> float:
-        """Probability of the gram's last character after the others in class ``c`` (1: toxic)."""
-        below = self.shared(gram[1:])
-        total = self.total[c].get(gram[:-1], 0)
-        if not total:
-            return below
-        seen = self.top.get(gram, (0, 0))[c]
-        return (max(seen - self.discount, 0) + self.discount * self.kinds[c][gram[:-1]] * below) / total
-
-    def gram(self, gram: str) -> float:
-        r = self._gram.get(gram)
-        if r is None:
-            if len(self._gram) > 2 * WORDS:
-                self._gram.clear()
-            r = self._gram[gram] = math.log(self.likelihood(gram, 1)) - math.log(self.likelihood(gram, 0))
-        return r
-
-    def learn(self, words: set[str]) -> None:
-        for w in self.memo.missing(words):
-            self.memo.now[w] = sum(map(self.gram, grams(w, self.order)))
+    def __getstate__(self):
+        return {**self.__dict__, "memo": None, "_slots": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(windows))
+        for columns, (keys, values) in ((windows[:, :-1], self.contexts), (windows, self.tops)):
+            if len(keys):
+                key = mixed(columns, self.seed)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                out = np.where(keys[at] == key, values[at], out)
+        return out
 
-    def meetings(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """For each text the log-likelihood ratios of the places where two of its words meet.
+    def learn(self, words) -> None:
+        for w in words:
+            self.memo[w]
+        self._learn()
+
+    def _learn(self) -> None:
+        new = self.memo.placed()
+        for low in range(0, len(new), 20_000):
+            windows, n = words_windows(new[low : low + 20_000], self.order)
+            self.memo.own = np.append(self.memo.own, np.add.reduceat(self.of(windows), np.cumsum(n) - n))
+
+    def _met(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ratio of each meeting."""
+        if self._slots is None:
+            self._slots = np.full(MEETINGS, -1, dtype=np.int64), np.zeros(MEETINGS)
+        names, values = self._slots
+        key = left << 32 | right
+        slot = (key.view(np.uint64) * np.uint64(_MIX) >> np.uint64(64 - MEETINGS.bit_length() + 1)).view(np.int64)
+        out = values[slot]
+        gone = np.flatnonzero(names[slot] != key)
+        if len(gone):
+            distinct, first, which = np.unique(key[gone], return_index=True, return_inverse=True)
+            windows, of = self.memo.meetings(left[gone[first]], right[gone[first]])
+            ratio = np.bincount(of, weights=self.of(windows), minlength=len(distinct))
+            out[gone] = ratio[which]
+            slots = slot[gone[first]]
+            values[slots], names[slots] = ratio, distinct
+            lost = names[slots] != distinct  # several fell to one slot: the one that is named there counts
+            values[slots[~lost]] = ratio[~lost]
+        return out
 
-        All windows of ``order`` characters with one space, not at their end, are told apart by a hash
-        and worked out once each; those of a space make its ratio.
-        """
-        order = self.order
-        gap = _START * order
-        joined = gap.join(" ".join(words) for words in texts) + gap
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        upto = np.cumsum(points == 32)
-        n = len(points) - order + 1
-        spaces = upto[order - 1 :] - np.concatenate([[0], upto[: n - 1]])
-        apart = np.cumsum(points == 2)
-        whole = apart[order - 1 :] == np.concatenate([[0], apart[: n - 1]])
-        at = np.flatnonzero((spaces == 1) & whole & (points[order - 1 :] != 32))
-        key = np.zeros(len(at), dtype=np.uint64)
-        for k in range(order):
-            key = (key + points[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        places = at[first].tolist()
-        if len(self._met) > 2 * WORDS:
-            self._met.clear()
-        known, values = self._met, []
-        for name, i in zip(distinct.tolist(), places, strict=True):
-            r = known.get(name)
-            if r is None:
-                r = known[name] = self.gram(joined[i : i + order])
-            values.append(r)
-        ratio = np.bincount(upto[at + order - 1] - 1, weights=np.array(values)[which] if len(at) else None, minlength=int(upto[-1]))
-        ends = np.cumsum([max(0, len(words) - 1) for words in texts])
-        return np.split(ratio[: ends[-1]], ends[:-1])
+    def meetings(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each text the log-likelihood ratios of the places where two of its words meet."""
+        ids, lengths = self.memo.numbers(texts), np.array([len(t) for t in texts], dtype=np.int64)
+        self._learn()
+        at = pairs_of(lengths)
+        met = self._met(self.memo.left[ids[at]], self.memo.right[ids[at + 1]])
+        return np.split(met, np.cumsum(np.maximum(lengths - 1, 0))[:-1])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: zeros for one without words."""
         out = np.zeros((len(texts), FEATURES))
         for low, high in text_slices(texts, 500_000):
+            if len(self.memo) > WORDS:
+                self.forget()
             cut = [words_of(t) for t in texts[low:high]]
-            self.learn(set().union(*cut))
-            known = self.memo.now
-            for row, words, met in zip(out[low:high], cut, self.meetings(cut), strict=True):
-                if words:
-                    own = np.array([known[w] for w in words])
-                    n = np.array([len(w) for w in words])
-                    strong = own > self.odds
-                    row[0] = own.sum() / n.sum()
-                    row[1] = (own / (n + 1))[strong].max() if strong.any() else own.max() / 20
-                    row[2] = (own > 2 * self.odds).sum() / math.log(2.0 + len(words))
-                    if len(met):
-                        pair = own[1:] + own[:-1] + met
-                        row[3:] = met.mean(), met.max(), log_mean(met), pair.max(), log_mean(pair)
+            ids, lengths = self.memo.numbers(cut), np.array([len(c) for c in cut], dtype=np.int64)
+            self._learn()
+            if not len(ids):
+                continue
+            some = np.flatnonzero(lengths)
+            held = lengths[some]
+            starts = np.cumsum(held) - held
+            own, n = self.memo.own[ids], self.memo.n[ids]
+            worst = np.maximum.reduceat(np.where(own > self.odds, own / (n + 1), -np.inf), starts)
+            rows = np.zeros((len(some), FEATURES))
+            rows[:, 0] = np.add.reduceat(own, starts) / np.add.reduceat(n, starts)
+            rows[:, 1] = np.where(worst > -np.inf, worst, np.maximum.reduceat(own, starts) / 20)
+            rows[:, 2] = np.add.reduceat((own > 2 * self.odds).astype(np.int64), starts) / np.log(2.0 + held)
+            at = pairs_of(held)
+            if len(at):
+                met = self._met(self.memo.left[ids[at]], self.memo.right[ids[at + 1]])
+                pair = own[at + 1] + own[at] + met
+                more = np.flatnonzero(held > 1)
+                size = held[more] - 1
+                starts = np.cumsum(size) - size
+                rows[more, 3] = np.add.reduceat(met, starts) / size
+                for values, top, mean in ((met, 4, 5), (pair, 6, 7)):
+                    rows[more, top] = most = np.maximum.reduceat(values, starts)
+                    rows[more, mean] = most + np.log(np.add.reduceat(np.exp(values - np.repeat(most, size)), starts) / size)
+            out[low + some] = rows
         return out
 
 
+class KneserNey(Ratios):
+    """Both models, from how often each class has each gram."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, discount: float = DISCOUNT, odds: float = 2.0):
+        windows = points_of("".join(counts)).reshape(-1, order)
+        seen = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
+        super().__init__(*self.tables(windows, seen, discount), order, odds)
+
+    def tables(self, windows: np.ndarray, seen: np.ndarray, discount: float) -> tuple:
+        """What :class:`Ratios` takes, for distinct grams and their numbers in ordinary and toxic texts."""
+        self.windows, self.seen = windows, seen
+        # Shared: at each lower order, how many characters a gram has been seen to follow.
+        levels, last = [], windows
+        while last.shape[1] > 1:
+            first, which = rows_alike(last[:, 1:])
+            last = last[first, 1:]
+            levels.append((last, which, np.bincount(which, minlength=len(last))))
+        self.letters = max(1, len(last)) if len(windows) else 1
+        below = np.full(1, 1.0 / (self.letters + 1))
+        self.levels = []
+        for k, (own, _, n) in enumerate(reversed(levels)):
+            first, which = rows_alike(own[:, :-1])
+            total, kinds = np.bincount(which, weights=n, minlength=len(first)), np.bincount(which, minlength=len(first))
+            rest = below[levels[len(levels) - k][1]] if k else np.full(len(own), below[0])
+            below = (np.maximum(n - discount, 0) + discount * kinds[which] * rest) / total[which]
+            self.levels.append((own, below, own[first, :-1], discount * kinds / total))
+        below = below[levels[0][1]] if levels else below
+        first, which = rows_alike(windows[:, :-1])
+        likely, back = [], []
+        for c in (0, 1):
+            total = np.bincount(which, weights=seen[:, c], minlength=len(first))
+            kinds = np.bincount(which, weights=seen[:, c] > 0, minlength=len(first))
+            back.append(np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0))
+            likely.append(np.maximum(seen[:, c] - discount, 0) / np.maximum(total, 1)[which] + back[c][which] * below)
+        self.likely, self.back, self.contexts_at = likely, back, first
+        ratios = [np.log(x[1]) - np.log(x[0]) for x in (likely, back)]
+        for seed in range(1, 100):  # no two of them by the same bits
+            keys = [mixed(windows, seed), mixed(windows[first, :-1], seed)]
+            if all(len(np.unique(k)) == len(k) for k in keys):
+                break
+        sort = [np.argsort(k) for k in keys]
+        return seed, *((k[s], r[s]) for k, r, s in zip(keys, ratios, sort, strict=True))
+
+    def ratios(self) -> Ratios:
+        return Ratios(self.seed, self.tops, self.contexts, self.order, self.odds)
+
+    def _named(self, rows: np.ndarray, values: np.ndarray) -> dict[str, float]:
+        k, text = rows.shape[1], np.ascontiguousarray(rows).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return dict(zip([text[i : i + k] for i in range(0, len(text), k)] if k else [""] * len(rows), values.tolist(), strict=True))
+
+    def shared(self, gram: str) -> float:
+        if not gram:
+            return 1.0 / (self.letters + 1)
+        if not hasattr(self, "_low"):
+            self._low, self._low_back = {}, {}
+            for own, p, contexts, back in self.levels:
+                self._low.update(self._named(own, p))
+                self._low_back.update(self._named(contexts, back))
+        p = self._low.get(gram)
+        return self._low_back.get(gram[:-1], 1.0) * self.shared(gram[1:]) if p is None else p
+
+    def likelihood(self, gram: str, c: int) -> float:
+        """Probability of the gram's last character after the others in class ``c`` (1: toxic)."""
+        if not hasattr(self, "_top"):
+            self._top = [self._named(self.windows, x) for x in self.likely]
+            self._back = [self._named(self.windows[self.contexts_at, :-1], x) for x in self.back]
+        p = self._top[c].get(gram)
+        return self._back[c].get(gram[:-1], 1.0) * self.shared(gram[1:]) if p is None else p
+
+
 class Model:
-    def __init__(self, counts: dict, mean, scale, weights, bias: float, odds: float = 2.0):
-        self.odds = odds
-        self.counts, self.mean, self.scale, self.weights, self.bias = counts, mean, scale, weights, bias
-        self._kn: KneserNey | None = None
+    def __init__(self, kn: Ratios, mean, scale, weights, bias: float, table: pa.Table | None = None):
+        self.kn, self.mean, self.scale, self.weights, self.bias = kn, mean, scale, weights, bias
+        self._table = table
 
     def __getstate__(self):
-        return {**self.__dict__, "_kn": None}
+        return {**self.__dict__, "_table": None}
 
     @property
-    def kn(self) -> KneserNey:
-        if self._kn is None:
-            self._kn = KneserNey(self.counts, odds=self.odds)
-        return self._kn
+    def counts(self) -> dict[str, tuple[int, int]]:
+        """How many ordinary and toxic ones of each gram; where the model was made."""
+        return dict(zip(self._table["gram"].to_pylist(), zip(self._table["o"].to_pylist(), self._table["t"].to_pylist(), strict=True), strict=True))
 
     def forget(self) -> None:
         """At a task's end: workers live on."""
-        self._kn = None
+        self.kn.forget()
         tidy()
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -210,49 +345,103 @@ class Model:
         return sigmoid((x - self.mean) / self.scale @ self.weights + self.bias)
 
 
+class Counts:
+    """Grams of texts of either class, by the words and meetings that have them."""
+
+    def __init__(self, order: int = ORDER):
+        self.order = order
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.n, self.met, self.held = Words(self.order), [np.zeros(0, dtype=np.int64)] * 2, [[], []], 0
+
+    def add(self, texts: list[str | None], y: int) -> None:
+        cut = [words_of(t) for t in texts]
+        ids = self.words.numbers(cut)
+        self.words.placed()
+        own = np.bincount(ids, minlength=len(self.words))
+        own[: len(self.n[y])] += self.n[y]
+        self.n[y] = own
+        at = pairs_of(np.array([len(c) for c in cut], dtype=np.int64))
+        self.met[y].append(np.unique(self.words.left[ids[at]] << 32 | self.words.right[ids[at + 1]], return_counts=True))
+        self.held += len(self.met[y][-1][0])
+
+    @property
+    def full(self) -> bool:
+        return self.held > HELD or 2 * len(self.words) > WORDS
+
+    def batch(self) -> pa.RecordBatch:
+        """What has been counted, once; then anew."""
+        windows, n, y = [np.zeros((0, self.order), dtype=np.uint32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        names = list(self.words)
+        for c in (0, 1):
+            at = np.flatnonzero(self.n[c])
+            if len(at):
+                own, many = words_windows([names[i] for i in at.tolist()], self.order)
+                windows.append(own)
+                n.append(np.repeat(self.n[c][at], many))
+            if self.met[c]:
+                keys, which = np.unique(np.concatenate([k for k, _ in self.met[c]]), return_inverse=True)
+                own, of = self.words.meetings(keys >> 32, keys & 0xFFFFFFFF)
+                windows.append(own)
+                n.append(np.bincount(which, weights=np.concatenate([m for _, m in self.met[c]]), minlength=len(keys)).astype(np.int64)[of])
+            y.append(np.full(sum(map(len, n)) - sum(map(len, y)), c))
+        windows, n, y = np.concatenate(windows), np.concatenate(n), np.concatenate(y)
+        first, which = rows_alike(windows)
+        text, k = np.ascontiguousarray(windows[first]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), self.order
+        sums = [np.bincount(which, weights=n * (y == c), minlength=len(first)).astype(np.int64) for c in (0, 1)]
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array([text[i : i + k] for i in range(0, len(text), k)], pa.string()), pa.array(sums[0]), pa.array(sums[1])], ["gram", "ordinary", "toxic"])
+
+
 def _count(batches):
-    by: dict[str, list[int]] = {}
+    counts = Counts()
     for batch in batches:
-        seen: list[Counter] = [Counter(), Counter()]
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            words = words_of(text)
-            seen[y].update(words)
-            seen[y].update(map(meeting, words, words[1:]))
-        for y in (0, 1):
-            for key, n in seen[y].items():
-                for g in over(key) if " " in key else grams(key):
-                    by.setdefault(g, [0, 0])[y] += n
-    yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([p[0] for p in by.values()], pa.int64()), pa.array([p[1] for p in by.values()], pa.int64())], ["gram", "ordinary", "toxic"])
+        texts, marks = batch.column("text").to_pylist(), batch.column("y").to_pylist()
+        for low, high in text_slices(texts, 1_000_000):
+            for y in (0, 1):
+                counts.add([t for t, m in zip(texts[low:high], marks[low:high], strict=True) if m == y], y)
+            if counts.full:
+                yield counts.batch()
+    yield counts.batch()
+    tidy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> Model:
-    """A model from at most ``most`` labelled rows, none of them in the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """A model from all labelled rows outside the held-out fold.
 
     With one class only, or no labelled row, every text gets the share of toxic rows (smoothed).
     """
-    marked = sample(labels, label, FOLDS, HELD_OUT, most)
-    toxic = sum(marked.values())
-    odds = math.log((len(marked) - toxic + 1) / (toxic + 1))
-    rows = chosen(docs, marked).withColumn("part", fold_of(F.concat(F.lit("c"), F.col("doc_id").cast("string")), FOLDS))
-    counted = rows.where(F.col("part") != CALIBRATE).select("text", "y").mapInArrow(_count, "gram string, ordinary long, toxic long")
-    sums = counted.groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).orderBy(F.desc(F.col("o") + F.col("t")), "gram").toPandas()  # all: the sample of labelled rows bounds them
-    counts = dict(zip(sums["gram"].tolist(), zip(sums["o"].tolist(), sums["t"].tolist(), strict=True), strict=True))
-    bare = Model(counts, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, odds)
+    marks = marked(labels, label, FOLDS, HELD_OUT)
+    n, toxic = tally(marks)
+    odds = math.log((n - toxic + 1) / (toxic + 1))
+    part = fold_of(F.concat(F.lit("c"), F.col("doc_id").cast("string")), FOLDS)
+    counted = among(docs, marks, n, part != CALIBRATE).select("text", "y").mapInArrow(_count, "gram string, ordinary long, toxic long")
+    table = counted.groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).orderBy("gram").toArrow()  # all kinds of grams: bounded by the alphabet, not by rows
+    seen = np.stack([table[c].to_numpy() for c in ("o", "t")], axis=1).reshape(-1, 2)
+    both = KneserNey({}, odds=odds)
+    kn = Ratios(*both.tables(points_of("".join(table["gram"].to_pylist())).reshape(-1, ORDER), seen, DISCOUNT), odds=odds)
+    del both
+    names = [f"x{i}" for i in range(FEATURES)]
 
     def measure(batches):
         for batch in batches:
-            x = bare.kn.features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
-
-    fit_on = rows.where(F.col("part") == CALIBRATE).select("text", "y").mapInArrow(measure, "y int, x array<double>").toPandas()
-    y = fit_on["y"].to_numpy(dtype=float)
-    if len(set(y)) < 2 or not counts:
-        share = (y.sum() + 1) / (len(y) + 12)
-        return Model(counts, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), math.log(share / (1 - share)), odds)
-    x = np.array(fit_on["x"].tolist(), dtype=float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights, bias = logistic((x - mean) / scale, y, ridge=0.1)
-    return Model(counts, mean, scale, weights, bias, odds)
+            x = kn.features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, x.T.copy())], ["y", *names])
+        kn.forget()
+        tidy()
+
+    spark = docs.sparkSession
+    path = scratch(spark, "toxicity-fit")
+    try:
+        rows = written_to(among(docs, marks, n, part == CALIBRATE).select("text", "y").mapInArrow(measure, "y int, " + ", ".join(f"{x} double" for x in names)), path)
+        found = logistic_over(rows, names, ridge=0.1)
+    finally:
+        drop(spark, path)
+    if found.positive in (0, found.n) or not len(seen):
+        share = (found.positive + 1) / (found.n + 12)
+        return Model(kn, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), math.log(share / (1 - share)), table)
+    return Model(kn, found.mean, found.scale, found.weights, found.bias, table)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from hashloom.llm import bpe, chat, common, embedding_dedup, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, tokenizing, toxicity
+from hashloom.llm import bpe, chat, common, embedding_dedup, exact_dedup, labelled, near_dedup, packing, pii, quality, suffix_dedup, tokenizing, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and that with ing er re th on an ti he in ed nd ou ea ha to or it is hi es ng".split()
@@ -172,6 +172,45 @@ def test_toxicity_keeps_every_gram(spark, monkeypatch):
     assert {g for w in ("plain", "mild", "vile") for g in toxicity.grams(w)} <= counts.keys()
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rows = spark.range(42_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, "plain vile").otherwise("plain mild").alias("text"))
+    model = toxicity.fit(rows, rows.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic")))
+    crc = lambda t: zlib.crc32(t.encode()) % 5
+    fitted = [i for i in range(42_000) if crc(str(i)) != 0]
+    assert len(fitted) > 33_000
+    counts = [i % 9 == 0 for i in fitted if crc(f"c{i}") != toxicity.CALIBRATE]
+    assert model.counts["plain"] == (counts.count(False), counts.count(True))
+    assert model.counts["vile "] == (0, counts.count(True)) and model.counts["n mil"] == (counts.count(False), 0)
+
+
+def test_labelled_texts_are_those_of_a_plain_join(spark):
+    r = random.Random(8)
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(600)] + list(range(-300, 300))
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*ids, *ids[::7]]] + [(None, "none"), (ids[0], None)], "doc_id long, text string")
+    picked = r.sample(ids, 400)
+    labels = spark.createDataFrame([(i, i % 2) for i in picked] + [(i, 1) for i in picked[:9]] + [(None, 1), (ids[1], None)], "doc_id long, toxic int")
+    marks = labelled.marked(labels, "toxic", 5, 0)
+    n, positive = labelled.tally(marks)
+    want = {i: max(i % 2, int(k < 9)) for k, i in enumerate(picked) if zlib.crc32(str(i).encode()) % 5}
+    assert (n, positive) == (len(want), sum(want.values()))
+    got = sorted((x.doc_id, x.text or "", x.y) for x in labelled.among(docs, marks, n).collect())
+    assert got == sorted((i, t or "", want[i]) for i, t in docs.collect() if i in want)
+    some = labelled.among(docs, marks, n, F.col("doc_id") % 3 == 0).collect()
+    assert {x.doc_id for x in some} == {i for i in want if i % 3 == 0}
+
+
+def test_logistic_of_sums_is_that_of_rows(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(3000, 3)) * [1, 40, 0] + [0, 9, 0.3]
+    y = (draw.random(3000) < 1 / (1 + np.exp(x[:, 0] - x[:, 1] / 40))).astype(int)
+    rows = spark.createDataFrame([(*a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)], "a double, b double, c double, y int")
+    got = labelled.logistic_over(rows.repartition(7), ["a", "b", "c"], ridge=0.1)
+    weights, bias = labelled.logistic((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), y, ridge=0.1)
+    assert (got.n, got.positive) == (3000, y.sum()) and np.allclose([*got.weights, got.bias], [*weights, bias], rtol=1e-5, atol=1e-7)
+    again = labelled.logistic_over(rows.orderBy("b").repartition(3), ["a", "b", "c"], ridge=0.1)
+    assert (got.weights == again.weights).all() and got.bias == again.bias
+
+
 def test_kneser_ney_sums_to_one():
     counts = {}
     for w, pair in {"abc": (3, 0), "abd": (1, 2), "bcd": (0, 5)}.items():
