@@ -18,7 +18,7 @@ from hashloom.functions import commands, counters, digests, exotic, hostcheck, i
 from hashloom.operators import chunking, dispatching, ordering, resolving, results, store
 from hashloom.plans import running
 from hashloom.sources import tables, writing
-from hashloom.sources.shared import fresh_path
+from hashloom.sources.shared import fresh_path, settle
 from hashloom.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,6 +581,7 @@ def stable_digests(spark, d):
 @query("select doc_id, sha256(text) as deflate, sha256(text) as zstd, sha256(text) as brotli, length(text) > 500 as shorter from documents")
 def compression_round_trip(spark, d):
     """What comes back, by its digest, and whether a text of more than 500 characters went shorter through each codec."""
+    settle(spark)
     raw = F.col("text").cast("binary")
     names = ("DEFLATE", "ZSTD", "BROTLI")
     packed = tables.read(spark, d, "documents").select("doc_id", "text", *[exotic.compress_udf(n)(raw).alias(n) for n in names])
@@ -590,6 +591,7 @@ def compression_round_trip(spark, d):
 
 @query()
 def digest_functions_exotic(spark, d):
+    settle(spark)
     raw = F.col("text").cast("binary")
     return tables.read(spark, d, "documents").select("doc_id", *[exotic.digest_udf(n)(raw).alias(n.lower()) for n in ("SHA256TREE", "MURMUR3")])
 

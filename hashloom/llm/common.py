@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.sources.shared import shared_dir
+from hashloom.sources.shared import settle, shared_dir  # noqa: F401
 
 _live: dict[str, object] = {}
 _kept: dict[str, object] = {}
@@ -67,16 +67,6 @@ def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return written_to(df, scratch(df.sparkSession, tag, keep))
 
 
-#: Arrow batches of so many rows and bytes, so that long texts don't fill a worker. Only Spark's defaults are changed.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
-
-
-def settle(spark: SparkSession) -> None:
-    for key, (default, own) in ARROW.items():
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, own)
-
-
 def fresh_names(df: DataFrame, n: int) -> list[str]:
     """Names that no column of ``df`` has, whatever its case."""
     held, made, k = {c.lower() for c in df.columns}, [], 0

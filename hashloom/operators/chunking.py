@@ -6,10 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions import digests
+from hashloom.sources.shared import settle
 
 CHUNKS = "blob string, idx int, start long, data binary"
 #: Bits of the cut masks of the published FastCDC code, by the number of bits set. Fixed values.
@@ -93,7 +95,8 @@ def longest_cuts(body: bytes, least: int, horizon: int) -> list[int]:
     n = len(body)
     if n < 2 * least:
         return [n]
-    hashes = gear_hashes(np.frombuffer(body, dtype=np.uint8), np.array(GEAR, dtype=np.uint64))
+    data, gear = np.frombuffer(body, dtype=np.uint8), np.array(GEAR, dtype=np.uint64)
+    base, hashes = 0, np.zeros(0, dtype=np.uint64)  # of the places from base on: the horizons' starts never go back
     ends, work = [], [(0, n)]
     while work:
         start, stop = work.pop()
@@ -101,23 +104,43 @@ def longest_cuts(body: bytes, least: int, horizon: int) -> list[int]:
             ends.append(stop)
             continue
         low, high = start + least, min(start + least + horizon, stop - least)
-        cut = low + int(hashes[low - 1 : high].argmax())  # the first of equals
+        if high > base + len(hashes):
+            base = low - 1
+            lead = min(base, 64)
+            hashes = gear_hashes(data[base - lead : max(base + _SLICE, high)], gear)[lead:]
+        cut = low + int(hashes[low - 1 - base : high - base].argmax())  # the first of equals
         work += [(cut, stop), (start, cut)]
     return ends
 
 
 def _split(cuts, *arguments):
+    """Chunks of one blob after the other are its bytes: they share the buffer that came in, and a batch of at most some ``_SLICE`` bytes goes out at a time."""
+
+    def chunks(blobs: pa.Array, bodies: pa.Array) -> pa.RecordBatch:
+        ends, of, start, at = [0], [], [], 0
+        for i, body in enumerate(bodies):
+            own = cuts(body.as_py() or b"", *arguments)
+            start += [0, *own[:-1]]
+            of += [i] * len(own)
+            ends += [at + e for e in own]
+            at += own[-1]
+        of = np.array(of, dtype=np.int64)
+        idx = np.arange(len(of)) - np.searchsorted(of, of)
+        first = np.frombuffer(bodies.buffers()[1], dtype=np.int32, count=1, offset=4 * bodies.offset)[0]
+        data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.array(ends, dtype=np.int32)), bodies.buffers()[2].slice(int(first), at) if at else pa.py_buffer(b"")])
+        return pa.RecordBatch.from_arrays([blobs.take(pa.array(of)), pa.array(idx, pa.int32()), pa.array(start, pa.int64()), data], ["blob", "idx", "start", "data"])
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for blob, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = 0
-                for i, end in enumerate(cuts(body or b"", *arguments)):
-                    rows.append((blob, i, start, (body or b"")[start:end]))
-                    start = end
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["blob", "idx", "start", "data"])
+            blobs, bodies = batch.column(0).cast(pa.string()), batch.column(1).cast(pa.binary())
+            if bodies.null_count:
+                bodies = bodies.fill_null(b"")
+            upto = np.cumsum(pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64))
+            low = 0
+            while low < len(bodies):
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _SLICE, side="right")))
+                yield chunks(blobs.slice(low, high - low), bodies.slice(low, high - low))
+                low = high
 
     return run
 
@@ -126,6 +149,7 @@ def split_gear(blobs: DataFrame, average: int = 1024, seed: int = 0) -> DataFram
     """Content-defined chunks by FastCDC; ``average`` is a power of two from 1 KiB to 1 MiB."""
     if average & (average - 1) or not 1 << 10 <= average <= 1 << 20:
         raise ValueError("the average must be a power of two from 1 KiB to 1 MiB")
+    settle(blobs.sparkSession)
     return blobs.select("hash", "data").mapInArrow(_split(gear_cuts, average, seed), CHUNKS)
 
 
@@ -133,6 +157,7 @@ def split_longest(blobs: DataFrame, least: int = 256, horizon: int | None = None
     """Content-defined chunks at repeated maxima of the gear hash; ``least`` is 64 or more."""
     if least < 64:
         raise ValueError("the least chunk size is 64")
+    settle(blobs.sparkSession)
     return blobs.select("hash", "data").mapInArrow(_split(longest_cuts, least, 8 * least if horizon is None else horizon), CHUNKS)
 
 

@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,57 @@ def test_chunks_splice_back(spark, split):
     assert all(x.ok for x in chunking.splice(chunks).collect())
 
 
+def whole_longest_cuts(body, least, horizon):
+    """By the definition, from hashes of the whole blob."""
+    hashes = chunking.gear_hashes(np.frombuffer(body, dtype=np.uint8), np.array(chunking.GEAR, dtype=np.uint64))
+
+    def cut(start, stop):
+        if stop - start < 2 * least:
+            return [stop]
+        low, high = start + least, min(start + least + horizon, stop - least)
+        at = low + int(hashes[low - 1 : high].argmax())
+        return cut(start, at) + cut(at, stop)
+
+    return cut(0, len(body))
+
+
+def test_long_blobs_are_hashed_and_cut_in_slices(monkeypatch):
+    body = np.random.default_rng(3).integers(0, 256, 40_000, dtype=np.uint8).tobytes()
+    monkeypatch.setattr(chunking, "_SLICE", 3000)
+    longest, hashed = [], chunking.gear_hashes
+    monkeypatch.setattr(chunking, "gear_hashes", lambda data, gear: longest.append(len(data)) or hashed(data, gear))
+    got = {args: chunking.longest_cuts(body, *args) for args in [(64, 512), (256, 2048), (100, 5000), (128, 0)]}
+    assert max(longest) < 6000
+    assert got == {args: whole_longest_cuts(body, *args) for args in got}
+
+
+def test_chunks_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(chunking, "_SLICE", 3000)
+    r = np.random.default_rng(4)
+    bodies = [r.integers(0, 256, n, dtype=np.uint8).tobytes() for n in r.integers(0, 2000, 200)] + [b"", None, bytes(9000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(bodies))]), pa.array(bodies, pa.binary())], ["hash", "data"])
+    for part in (batch, batch.slice(50), batch.slice(7, 1)):
+        out = list(chunking._split(chunking.longest_cuts, 64, 512)([part]))
+        assert all(sum(map(len, b.column("data").to_pylist())) <= 3000 or len(set(b.column("blob").to_pylist())) == 1 for b in out)
+        assert len(out) > 20 or part.num_rows == 1
+        want = []
+        for blob, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            ends = chunking.longest_cuts(body or b"", 64, 512)
+            want += [(blob, i, a, (body or b"")[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        assert [x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True)] == want
+
+
+@pytest.mark.parametrize("name", ["split_fastcdc", "split_repmaxcdc", "compression_round_trip", "digest_functions_exotic"])
+def test_batches_for_python_are_bounded(spark, data, name):
+    from hashloom import catalogue
+
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for key in keys:
+        spark.conf.unset(key)
+    catalogue.QUERIES[name](spark, data)
+    assert [spark.conf.get(k) for k in keys] == ["2000", "8388608b"]
+
+
 def test_chunk_sizes():
     import random
 
