@@ -50,7 +50,7 @@ def test_murmur():
 
 
 @pytest.mark.parametrize("name", ["IDENTITY", "DEFLATE", "ZSTD", "BROTLI"])
-def test_compressors_take_bodies_where_they_lie(name):
+def test_compressors_take_bodies_where_they_lie(spark, name):
     """Arrow arrays in and out, nothing in between that holds all bodies again."""
     bodies = pa.array([b"left out", b"", None, b"ab" * 5000, bytes(range(256))], pa.binary()).slice(1)
     packed = exotic.compress_udf(name).func(bodies)
