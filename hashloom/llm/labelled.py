@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from hashloom.llm.common import settle
 
-#: No classifier is fitted on more labelled rows than this, whatever the input.
-MAX_LABELLED = 30_000
-
 
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
@@ -22,28 +19,6 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
     return (F.crc32(text.cast("binary")) % folds).cast("int")
 
 
-def sample(labels: DataFrame, label: str, folds: int, held_out: int, most: int = MAX_LABELLED) -> dict[int, int]:
-    """``doc_id -> 0/1`` of at most ``most`` labelled rows outside the held-out fold.
-
-    The first by hash of the id, so the choice doesn't depend on order or
-    partitions. Rows with null id or label are left out; of rows that repeat an
-    id the larger label counts.
-    """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold_of("doc_id", folds) != held_out))
-    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
-    return dict(zip(rows["doc_id"].tolist(), (rows["y"] > 0).astype(int).tolist(), strict=True))
-
-
-def chosen(docs: DataFrame, labelled: dict[int, int]) -> DataFrame:
-    """``doc_id, text, y`` of the sampled rows. The sample is bounded by :data:`MAX_LABELLED`, so it is broadcast."""
-    spark = docs.sparkSession
-    settle(spark)
-    small = spark.createDataFrame(list(labelled.items()) or [(None, None)], "doc_id long, y int")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(small), "doc_id")
-
-
 def marked(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
     """``doc_id, y`` of every labelled row outside the held-out fold.
 
@@ -80,7 +55,7 @@ def among(docs: DataFrame, marks: DataFrame, n: int, where: Column | None = None
     return found.select("doc_id", "text").join(marks.hint("merge"), "doc_id")
 
 
-def _newton(parts: Callable, size: int, ridge: float, rounds: int, intercept: bool) -> np.ndarray:
+def newton(parts: Callable, size: int, ridge: float, rounds: int, intercept: bool) -> np.ndarray:
     """Weights by Newton steps; ``parts(w)`` is the likelihood's gradient and what curves it."""
     w = np.zeros(size)
     penalty = np.full(size, ridge)
@@ -104,19 +79,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50,
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         return full.T @ (y - p), (full * (p * (1 - p))[:, None]).T @ full
 
-    w = _newton(parts, full.shape[1], ridge, rounds, intercept)
+    w = newton(parts, full.shape[1], ridge, rounds, intercept)
     return (w[:-1], float(w[-1])) if intercept else (w, 0.0)
 
 
 def sums(rows: DataFrame, names: list[str], of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Columns of ``of(x, y)``, a row for each of ``rows``, summed in whole numbers: the order of rows doesn't matter. A task returns one row."""
+    """Columns of ``of(x, y)``, a row for each of ``rows``, summed as by :func:`summed`."""
+    return summed(rows, lambda b: of(np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1), b.column("y").to_numpy(zero_copy_only=False).astype(float)))
+
+
+def summed(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Columns of ``of(batch)``, summed in whole numbers: the order of rows doesn't matter. A task returns one row."""
 
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
-                v = of(x, batch.column("y").to_numpy(zero_copy_only=False).astype(float)) * 2.0**20
+                v = of(batch) * 2.0**20
                 high = np.rint(v)
                 own = np.concatenate([high.astype(np.int64).sum(axis=0), np.rint((v - high) * 2.0**32).astype(np.int64).sum(axis=0)])
                 total = own if total is None else total + own
@@ -129,6 +108,33 @@ def sums(rows: DataFrame, names: list[str], of: Callable[[np.ndarray, np.ndarray
     return np.array([(h * 2**32 + low) / 2**52 for h, low in zip(whole[:half], whole[half:], strict=True)])
 
 
+def moments(rows: DataFrame, names: list[str]) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The number of rows and of those whose ``y`` is 1, and mean and deviation of the columns ``names``."""
+    k = len(names)
+    first = sums(rows, names, lambda x, y: np.hstack([x, y[:, None], np.ones((len(x), 1))]))
+    if not len(first):
+        return 0, 0, np.zeros(k), np.ones(k)
+    mean = first[:k] / first[-1]
+    return int(first[-1]), int(first[-2]), mean, np.sqrt(sums(rows, names, lambda x, y: (x - mean) ** 2) / first[-1])
+
+
+def ranked(values: DataFrame, rank: int, most: int = 20_000) -> float:
+    """The value of rank ``rank``, from 0, of the column ``v``: bins are counted until the one that holds it is small or of one value."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    inside = F.lit(True)
+    while low < high:
+        bin_of = F.least(F.floor((F.col("v") - low) / ((high - low) / 4096)), F.lit(4095))
+        bins = values.where(inside).groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+        for b in bins:
+            if rank < b.n:
+                break
+            rank -= b.n
+        low, high, inside = b.low, b.high, F.col("v").between(b.low, b.high)
+        if low < high and b.n <= most:
+            return sorted(r.v for r in values.where(inside).collect())[rank]
+    return low
+
+
 @dataclass
 class Fitted:
     n: int
@@ -142,11 +148,10 @@ class Fitted:
 def logistic_over(rows: DataFrame, names: list[str], ridge: float = 1.0, rounds: int = 50) -> Fitted:
     """The ridge logistic regression of ``y`` on the columns ``names``, brought to mean 0 and deviation 1. Tasks send sums; no row leaves them."""
     k = len(names)
-    first = sums(rows, names, lambda x, y: np.hstack([x, y[:, None], np.ones((len(x), 1))]))
-    if not len(first):
-        return Fitted(0, 0, np.zeros(k), np.ones(k), np.zeros(k), 0.0)
-    n, positive, mean = int(first[-1]), int(first[-2]), first[:k] / first[-1]
-    scale = np.sqrt(sums(rows, names, lambda x, y: (x - mean) ** 2) / n) + 1e-9
+    n, positive, mean, deviation = moments(rows, names)
+    scale = deviation + 1e-9
+    if not n:
+        return Fitted(0, 0, mean, scale, np.zeros(k), 0.0)
     upper = np.triu_indices(k + 1)
 
     def parts(w):
@@ -160,7 +165,7 @@ def logistic_over(rows: DataFrame, names: list[str], ridge: float = 1.0, rounds:
         curve[upper] = got[k + 1 :]
         return got[: k + 1], curve + np.triu(curve, 1).T
 
-    w = _newton(parts, k + 1, ridge, rounds, True)
+    w = newton(parts, k + 1, ridge, rounds, True)
     return Fitted(n, positive, mean, scale, w[:-1], float(w[-1]))
 
 

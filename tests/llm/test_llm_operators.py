@@ -853,6 +853,25 @@ def test_passes_reach_the_stated_probability():
     assert all((1 - p**d) ** embedding_dedup.passes_for(d) <= embedding_dedup.MISS for d in range(1, 7))
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Blocks, sums and ranks against the same fit on all rows at once."""
+    r = random.Random(12)
+    texts = [prose(r, r.randint(3, 20)) for _ in range(1500)]
+    rows = [(i, t if r.random() < 0.8 else t.upper() + " $$") for i, t in enumerate(texts)]
+    marks = [(i, int("$" not in t or r.random() < 0.2)) for i, t in rows]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    own = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = quality.fit_pairs(np.array([quality.features(rows[i][1]) for i in own]), np.array([marks[i][1] for i in own]))
+    got = quality.fit(docs, labels)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.weights, want.weights, rtol=1e-4, atol=1e-6)
+    assert got.threshold == pytest.approx(want.threshold, abs=1e-5) and got.spread == pytest.approx(want.spread, rel=1e-5)
+    monkeypatch.setattr(quality, "BLOCK", 200)
+    some = quality.fit(docs, labels)
+    assert np.allclose(some.mean, want.mean) and np.corrcoef(some.weights, want.weights)[0, 1] > 0.99
+    values = spark.createDataFrame([(float(v),) for v in [*range(500), *[7] * 300]], "v double")
+    assert [labelled.ranked(values, k, 10) for k in (0, 7, 300, 308, 799)] == [0, 7, 7, 8, 499]
+
+
 def test_ranking_equals_a_fit_on_all_pairs():
     """The drawn pairs against gradient steps on every pair of a good and a poor document."""
     r = np.random.default_rng(31)
