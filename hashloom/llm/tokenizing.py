@@ -179,6 +179,14 @@ def rank_encoder(path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
     return Encoder(from_ranks(ranks, pattern), np.array([len(t) for t in table])), table
 
 
+def forget_encoders() -> None:
+    """For tasks that don't encode: what their worker kept of earlier ones' encoders goes."""
+    if json_encoder.cache_info().currsize or rank_encoder.cache_info().currsize:
+        json_encoder.cache_clear()
+        rank_encoder.cache_clear()
+        tidy()
+
+
 def text_slices(texts, most: int = 4_000_000):
     """Index ranges of ``texts`` (None: empty) of about ``most`` characters each."""
     start = held = 0

@@ -20,6 +20,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from hashloom.llm.common import drop, scratch, written_to
 from hashloom.llm.labelled import among, fold_of, logistic_over, marked, sigmoid, tally
-from hashloom.llm.tokenizing import text_slices, tidy
+from hashloom.llm.tokenizing import forget_encoders, text_slices, tidy
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -40,6 +41,8 @@ WORDS = 300_000
 MEETINGS = 1 << 19
 #: So many distinct meetings of a task are counted before their grams are handed on.
 HELD = 500_000
+#: So many words or meetings become grams at a time, and so many distinct grams of such slices wait at least to be summed up.
+SLICE, SUMMED = 40_000, 250_000
 _WORD = re.compile(r"[^\W_]+")
 _START = "\x02"
 FEATURES = 8
@@ -345,6 +348,26 @@ class Model:
         return sigmoid((x - self.mean) / self.scale @ self.weights + self.bias)
 
 
+class Tally(NamedTuple):
+    """Distinct grams, a row of code points each, and how often ordinary and toxic texts have them."""
+
+    windows: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, windows: np.ndarray, n: np.ndarray, c: int) -> Tally:
+        first, which = rows_alike(windows)
+        sums = np.zeros((len(first), 2), dtype=np.int64)
+        sums[:, c] = np.bincount(which, weights=n, minlength=len(first))
+        return cls(windows[first], sums)
+
+    @classmethod
+    def joint(cls, parts: list[Tally]) -> Tally:
+        windows, n = np.concatenate([x.windows for x in parts]), np.concatenate([x.n for x in parts])
+        first, which = rows_alike(windows)
+        return cls(windows[first], np.stack([np.bincount(which, weights=n[:, c], minlength=len(first)).astype(np.int64) for c in (0, 1)], axis=1))
+
+
 class Counts:
     """Grams of texts of either class, by the words and meetings that have them."""
 
@@ -370,31 +393,41 @@ class Counts:
     def full(self) -> bool:
         return self.held > HELD or 2 * len(self.words) > WORDS
 
-    def batch(self) -> pa.RecordBatch:
-        """What has been counted, once; then anew."""
-        windows, n, y = [np.zeros((0, self.order), dtype=np.uint32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    def _parts(self):
+        """Grams of some words or meetings of a class at a time, a row each, how often each is there, and the class."""
         names = list(self.words)
         for c in (0, 1):
             at = np.flatnonzero(self.n[c])
-            if len(at):
-                own, many = words_windows([names[i] for i in at.tolist()], self.order)
-                windows.append(own)
-                n.append(np.repeat(self.n[c][at], many))
+            for low in range(0, len(at), SLICE):
+                some = at[low : low + SLICE]
+                own, many = words_windows([names[i] for i in some.tolist()], self.order)
+                yield own, np.repeat(self.n[c][some], many), c
             if self.met[c]:
                 keys, which = np.unique(np.concatenate([k for k, _ in self.met[c]]), return_inverse=True)
-                own, of = self.words.meetings(keys >> 32, keys & 0xFFFFFFFF)
-                windows.append(own)
-                n.append(np.bincount(which, weights=np.concatenate([m for _, m in self.met[c]]), minlength=len(keys)).astype(np.int64)[of])
-            y.append(np.full(sum(map(len, n)) - sum(map(len, y)), c))
-        windows, n, y = np.concatenate(windows), np.concatenate(n), np.concatenate(y)
-        first, which = rows_alike(windows)
-        text, k = np.ascontiguousarray(windows[first]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), self.order
-        sums = [np.bincount(which, weights=n * (y == c), minlength=len(first)).astype(np.int64) for c in (0, 1)]
+                met = np.bincount(which, weights=np.concatenate([m for _, m in self.met[c]]), minlength=len(keys)).astype(np.int64)
+                del which
+                self.met[c] = []
+                for low in range(0, len(keys), SLICE):
+                    some = keys[low : low + SLICE]
+                    own, of = self.words.meetings(some >> 32, some & 0xFFFFFFFF)
+                    yield own, met[low : low + SLICE][of], c
+
+    def batch(self) -> pa.RecordBatch:
+        """What has been counted, once; then anew. Grams are summed as they are made, so that only distinct ones are held."""
+        held, more, k = Tally(np.zeros((0, self.order), dtype=np.uint32), np.zeros((0, 2), dtype=np.int64)), [], self.order
+        for windows, n, c in self._parts():
+            more.append(Tally.of(windows, n, c))
+            if sum(len(x.windows) for x in more) > max(SUMMED, len(held.windows)):
+                held, more = Tally.joint([held, *more]), []
+        held = Tally.joint([held, *more])
+        del more
         self.clear()
-        return pa.RecordBatch.from_arrays([pa.array([text[i : i + k] for i in range(0, len(text), k)], pa.string()), pa.array(sums[0]), pa.array(sums[1])], ["gram", "ordinary", "toxic"])
+        text = np.ascontiguousarray(held.windows).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return pa.RecordBatch.from_arrays([pa.array([text[i : i + k] for i in range(0, len(text), k)], pa.string()), *(pa.array(x.copy()) for x in held.n.T)], ["gram", "ordinary", "toxic"])
 
 
 def _count(batches):
+    forget_encoders()
     counts = Counts()
     for batch in batches:
         texts, marks = batch.column("text").to_pylist(), batch.column("y").to_pylist()
@@ -425,6 +458,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     names = [f"x{i}" for i in range(FEATURES)]
 
     def measure(batches):
+        forget_encoders()
         for batch in batches:
             x = kn.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, x.T.copy())], ["y", *names])
@@ -448,6 +482,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of each row: the text alone decides. Null and empty texts have no evidence and get the score of none."""
 
     def run(batches):
+        forget_encoders()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
         model.forget()
@@ -468,6 +503,7 @@ def without_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) ->
     at = names.index("text")
 
     def run(batches):
+        forget_encoders()
         for batch in batches:
             ok = model.score([None if t is None else str(t) for t in batch.column(at).to_pylist()]) < 0.5
             yield batch.filter(pa.array(ok))

@@ -905,3 +905,44 @@ def test_texts_are_cut_whole():
     cuts = list(tokenizing.text_slices(texts, 20))
     assert cuts[0][0] == 0 and cuts[-1][1] == 5 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
     assert list(tokenizing.text_slices([])) == []
+
+
+def test_counts_of_slices_equal_a_plain_count(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    monkeypatch.setattr(toxicity, "SUMMED", 30)
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abé日") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    counts = toxicity.Counts()
+    for _ in range(2):  # what has been handed on isn't counted again
+        for c, own in enumerate((texts[:50], texts[50:])):
+            counts.add(own[:20], c)
+            counts.add(own[20:], c)
+        got = counts.batch().to_pydict()
+        plain = [Counter(g for t in own for g in text_grams(t)) for own in (texts[:50], texts[50:])]
+        assert len(set(got["gram"])) == len(got["gram"])
+        assert dict(zip(got["gram"], zip(got["ordinary"], got["toxic"]))) == {g: (plain[0][g], plain[1][g]) for g in plain[0] | plain[1]}
+    assert counts.batch().num_rows == 0
+
+
+def test_counting_holds_distinct_grams_only():
+    import tracemalloc
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(7)) for _ in range(4000)]
+    counts = toxicity.Counts()
+    for y in (0, 1):
+        counts.add([" ".join(r.choices(words, k=250_000))], y)
+    assert counts.held > 450_000
+    tracemalloc.start()
+    try:
+        counts.batch()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 110, peak
+
+
+def test_an_encoder_goes_when_its_worker_counts_grams():
+    tokenizing.json_encoder(tokenizing.vocabulary_path("byte_bpe_50k.json"))
+    list(toxicity._count([pa.record_batch({"text": ["a b"], "y": pa.array([0], pa.int32())})]))
+    assert tokenizing.json_encoder.cache_info().currsize == 0
